@@ -134,3 +134,16 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     marks = df.select(mark.alias("m")).orderBy("m").limit(rows)
     last = marks.agg(F.max("m"), F.count("*")).first()
     return df.filter(mark <= F.lit(last[0])) if last[1] >= rows else df
+
+
+def fraction_sample(df: DataFrame, key: str, rows: int, seed: int, by: str | None = None) -> DataFrame:
+    """About ``rows`` rows of ``df``, of each value of ``by`` if given, by a seeded hash of ``key``.
+
+    All rows stay where there are fewer. Only counts are gathered for it.
+    """
+    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    if by is None:
+        n = df.select(F.lit(1)).count()
+        return df.filter(unit < F.lit(rows / max(n, 1)))
+    shares = lookup(df.groupBy(F.col(by).alias("_by")).agg((F.lit(float(rows)) / F.count("*")).alias("_share")))
+    return df.join(shares, F.col(by) == F.col("_by")).filter(unit < F.col("_share")).drop("_by", "_share")

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, sharding, topk
+from . import decontam, packing, secrets, sharding, simhash, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that leaks into it."""
+    found = decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").alias("start_word"), "words", "equal", "similarity")
+
+
 def op4_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards under the ``rows`` law."""
     placed = sharding.interleave_shards(_read(spark, sf_dir, "documents"), n_shards=40)
@@ -42,6 +48,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into sequences of 2048 tokens."""
     return packing.pack_documents(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -54,8 +68,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontam": op1_decontam,
     "op4_interleave": op4_interleave,
     "op5_secrets": op5_secrets,
+    "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op10_topk": op10_topk,
 }
