@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, secrets, sharding, simhash, topk, warc
+from . import decontam, langid, packing, secrets, sharding, simhash, topk, warc
+from .common import text_fold
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +21,15 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").alias("start_word"), "words", "equal", "similarity")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three of four folds."""
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(text_fold("doc_id", 4) != 2))
+    return langid.identify(docs, model).select(
+        F.col("id").alias("doc_id"), (text_fold("id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op4_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards under the ``rows`` law."""
     placed = sharding.interleave_shards(_read(spark, sf_dir, "documents"), n_shards=40)
@@ -76,6 +86,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
+    "op2_langid": op2_langid,
     "op4_interleave": op4_interleave,
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
