@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, secrets, sharding, simhash, topk, warc
+from . import decontam, langid, packing, secrets, sharding, simhash, topk, toxicity, warc
 from .common import text_fold
 
 
@@ -78,6 +78,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four of five folds."""
+    docs = _read(spark, sf_dir, "documents")
+    labels = _read(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(text_fold("doc_id", 5) != 0))
+    return toxicity.score_documents(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (text_fold("id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best rows for every hundredth vector."""
     table = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -92,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
 }
 
