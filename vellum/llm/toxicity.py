@@ -35,6 +35,8 @@ ROUNDS, PASSES, BATCH, RATE = 4, 4, 128, 0.01
 SEED = 23
 #: Weight of the class shares in a unit's log-odds, in texts.
 PRIOR = 10.0
+#: Log-odds up to which a unit says nothing.
+WEAK = 0.8
 #: Bytes that words are made of: letters, digits and all beyond ASCII.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -261,8 +263,9 @@ class Model:
 
 
 def _odds(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
-    """Shrunken log-odds against the class shares."""
-    return np.log((pos + PRIOR * share) / (neg + PRIOR * (1 - share)) * (1 - share) / share)
+    """Shrunken log-odds against the class shares; weak evidence counts as none."""
+    raw = np.log((pos + PRIOR * share) / (neg + PRIOR * (1 - share)) * (1 - share) / share)
+    return np.sign(raw) * np.maximum(np.abs(raw) - WEAK, 0)
 
 
 def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED, rounds: int = ROUNDS) -> Model:
