@@ -147,3 +147,23 @@ def fraction_sample(df: DataFrame, key: str, rows: int, seed: int, by: str | Non
         return df.filter(unit < F.lit(rows / max(n, 1)))
     shares = lookup(df.groupBy(F.col(by).alias("_by")).agg((F.lit(float(rows)) / F.count("*")).alias("_share")))
     return df.join(shares, F.col(by) == F.col("_by")).filter(unit < F.col("_share")).drop("_by", "_share")
+
+
+def least_count(counts: DataFrame, column: str, rows: int) -> int:
+    """The smallest bound that at most ``rows`` rows of ``counts`` reach in ``column``.
+
+    Found from a histogram, whose upper end is one bar that doubles while it holds too many.
+    """
+    cap = 10_000
+    bars = counts.groupBy(F.least(F.col(column), F.lit(cap)).alias("bar")).agg(F.count("*").alias("rows")).collect()
+    held = {r["bar"]: r["rows"] for r in bars}
+    least, reached = cap, held.pop(cap, 0)
+    while reached > rows:
+        least *= 2
+        reached = counts.filter(F.col(column) >= least).count()
+    if least == cap:
+        for bar in sorted(held, reverse=True):
+            if reached + held[bar] > rows:
+                break
+            least, reached = bar, reached + held[bar]
+    return least

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, secrets, sharding, simhash, topk, toxicity, warc
+from . import decontam, langid, lm, packing, secrets, sharding, simhash, topk, toxicity, warc
 from .common import text_fold
 
 
@@ -30,6 +30,21 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document, learned from six of seven folds."""
+    docs = _read(spark, sf_dir, "documents")
+    model, counts = lm.learn(docs.filter(text_fold("doc_id", 7) != 2))
+    return lm.score_documents(docs, model, counts).select(
+        F.col("id").alias("doc_id"),
+        (text_fold("id", 7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op4_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards under the ``rows`` law."""
     placed = sharding.interleave_shards(_read(spark, sf_dir, "documents"), n_shards=40)
@@ -100,6 +115,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_langid": op2_langid,
+    "op3_lm": op3_lm,
     "op4_interleave": op4_interleave,
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
