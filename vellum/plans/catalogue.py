@@ -5,6 +5,245 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import dates as D
+from ..functions import text as X
+from ..operators import audit, changes, chunking, models, relational, retrieval, temporal
+from ..sources import fixtures as S
+from ..sources import store
+from .oracles import ORACLES
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def now() -> F.Column:
+    """The present, fixed so that results can be compared."""
+    return F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _documents(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """Register a query over the documents view."""
+    QUERIES[name] = lambda spark, sf_dir: build(S.documents_v(spark, sf_dir))
+
+
+def _halves(docs: DataFrame) -> DataFrame:
+    """Documents with a cursor in the middle of their text."""
+    half = F.floor(F.length("content") / 2).cast("int")
+    return docs.withColumn("half", half).withColumn("prefix", F.left("content", F.col("half"))).withColumn("suffix", F.substring("content", F.col("half") + 1, F.length("content")))
+
+
+SHOWN = ["id", "title", "content", "folder_id"]
+_documents("doc_list", relational.document_list)
+_documents("doc_get", lambda d: relational.document_by_id(d, 7).select(*SHOWN))
+_documents("doc_missing", lambda d: relational.document_by_id(d, 10).select(*SHOWN))
+_documents("doc_home", lambda d: relational.first_document(d).select("id", "title", "content"))
+_documents("doc_newest", lambda d: relational.newest_first(d).select("id", "title"))
+_documents("preview_ellipsis", lambda d: d.select("id", X.ellipsis_preview(F.col("content")).alias("preview")))
+_documents(
+    "title_display",
+    lambda d: d.select(
+        "id", X.display_title(F.col("title")).alias("shown"), X.normal_title(F.col("title")).alias("normal"), X.display_content(F.col("content")).alias("body")
+    ),
+)
+_documents(
+    "context_truncate",
+    lambda d: _halves(d).select(
+        "id",
+        X.tail(F.col("prefix"), 1000).alias("prefix_kept"),
+        X.head(F.col("suffix"), 200).alias("suffix_kept"),
+        X.tail(X.tail(F.col("prefix"), 1000), 500).alias("prompt_prefix"),
+        X.head(F.col("suffix"), 500).alias("suffix_wide"),
+        X.tail(F.col("prefix"), 2000).alias("prefix_wide"),
+        X.at_end(F.col("content"), F.col("half")).alias("at_end"),
+    ),
+)
+_documents("first_phrase", lambda d: d.select("id", X.first_phrase(F.col("content")).alias("phrase")))
+_documents(
+    "text_stats",
+    lambda d: _halves(d).select(
+        "id",
+        F.length("content").alias("n_chars"),
+        X.word_count(F.col("content")).alias("n_words"),
+        X.cursor_line(F.col("prefix")).alias("line"),
+        X.cursor_column(F.col("prefix")).alias("col"),
+    ),
+)
+_documents(
+    "date_display",
+    lambda d: d.select(
+        "id",
+        D.iso(F.col("updated_at")).alias("updated_iso"),
+        D.local_text(F.col("updated_at"), "Asia/Shanghai").alias("updated_local"),
+        D.list_text(F.col("updated_at"), now()).alias("listed"),
+        D.iso(D.last_touched(F.col("updated_at"), F.col("created_at"))).alias("touched"),
+    ),
+)
+_documents("chunks_fixed", chunking.fixed_chunks)
+_documents("chunk_counts", lambda d: chunking.chunk_counts(chunking.fixed_chunks(d)))
+_documents("chunks_markdown", lambda d: chunking.chunk_documents(d).withColumn("headers", F.to_json("headers")))
+_documents(
+    "doc_soft_delete",
+    lambda d: changes.soft_delete(d, d.filter(F.col("id") % 5 == 0), now()).select("id", "is_active", D.iso(F.col("updated_at")).alias("updated_at")),
+)
+_documents("polish_text", lambda d: models.polished(d.select("id", F.col("content").alias("text")), models.StubModel()).select("id", "reply", "status"))
+_documents("extend_text", lambda d: models.extended(d.select("id", F.col("content").alias("text")), models.StubModel()).select("id", "reply", "status"))
+_documents("complete_text", lambda d: models.completions(_halves(d).select("id", "prefix", "suffix"), models.StubModel()).select("id", "completion"))
+
+
+@query
+def folder_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.active(S.folders_v(spark, sf_dir)).select("id", "title", "parent_id")
+
+
+@query
+def folder_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.folder_by_id(S.folders_v(spark, sf_dir), 16).select("id", "title", "parent_id")
+
+
+@query
+def folder_contents_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.folder_contents(S.folders_v(spark, sf_dir), S.documents_v(spark, sf_dir), 0)
+
+
+@query
+def folder_contents_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.folder_contents(S.folders_v(spark, sf_dir), S.documents_v(spark, sf_dir), 2)
+
+
+@query
+def doc_with_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.with_folder(S.documents_v(spark, sf_dir), S.folders_v(spark, sf_dir)).select("id", "title", "folder_id", "folder_title")
+
+
+@query
+def folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.folder_paths(spark, S.folders_v(spark, sf_dir))
+
+
+@query
+def overlap_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", X.without_overlap(F.substring(text, 150, 100), F.substring(text, 1, 200)).alias("kept"))
+
+
+@query
+def markdown_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = S.documents_v(spark, sf_dir).join(S.read(spark, sf_dir, "pages"), F.col("id") == F.col("page_id"), "left")
+    return joined.select("id", X.markdown_like(F.col("content")).alias("is_markdown"), X.paste_as_markdown(F.col("content"), F.col("html")).alias("as_markdown"))
+
+
+def _last_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
+
+
+@query
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _last_messages(spark, sf_dir).select("conv_id", X.cache_key(F.col("question")).alias("key"))
+
+
+@query
+def ask_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.answers(_last_messages(spark, sf_dir), models.StubModel()).select("conv_id", "reply", "status")
+
+
+@query
+def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = S.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieval.nearest(vectors.filter("vec_id < 5"), vectors).select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = store.of_active_documents(S.chunk_vectors_v(spark, sf_dir).drop("is_active"), S.documents_v(spark, sf_dir))
+    asked = S.read(spark, sf_dir, "embeddings").filter("vec_id < 5").select("vec_id", "embedding")
+    found = retrieval.contexts(retrieval.nearest(asked, chunks))
+    questions = found.select("query_id").withColumn("question", F.concat(F.lit("What is known about vector "), F.col("query_id").cast("string"), F.lit("?")))
+    return retrieval.answer_prompts(found, questions)
+
+
+@query
+def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.array_join(F.transform("sources", lambda s: F.concat(s["title"], F.lit(": "), s["content"])), "\n")
+    return _contexts(spark, sf_dir).select("query_id", "context", shown.alias("sources"), F.size("sources").alias("n_sources"), "prompt")
+
+
+@query
+def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _contexts(spark, sf_dir).select("query_id", X.cache_key(F.col("question")).alias("cache_key"), "prompt")
+    return models.with_replies(asked, models.StubModel()).select("query_id", "cache_key", "reply", "status")
+
+
+@query
+def doc_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patches = S.changes_v(spark, sf_dir).filter("op = 'patch'")
+    return changes.apply_patches(S.documents_v(spark, sf_dir), patches).select("id", "title", "content", "folder_id", D.iso(F.col("updated_at")).alias("updated_at"))
+
+
+@query
+def doc_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.latest(S.changes_v(spark, sf_dir)).withColumns({c: D.iso(F.col(c)) for c in ("created_at", "updated_at")})
+
+
+@query
+def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.index_rows(S.changes_v(spark, sf_dir))
+
+
+@query
+def index_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.index_rows(S.changes_v(spark, sf_dir), replace=False)
+
+
+@query
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_rows(S.changes_v(spark, sf_dir)).withColumn("timestamp", D.iso(F.col("timestamp"))).drop("details")
+
+
+@query
+def system_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.system_logs_v(spark, sf_dir).drop("timestamp")
+
+
+@query
+def request_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.logged_requests(S.requests_v(spark, sf_dir)).select("id", "url", "duration_ms")
+
+
+@query
+def debounced_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saves = temporal.debounced(S.edits_v(spark, sf_dir), "30 minutes")
+    return saves.withColumns({c: D.iso(F.col(c)) for c in ("first_ts", "last_ts")})
+
+
+@query
+def latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.latest_per_key(S.read(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query
+def ttl_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.ttl_reads(S.cache_ops_v(spark, sf_dir)).drop("ts")
+
+
+@query
+def completion_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("turn") % 3
+    choices = F.to_json(F.struct(F.array(F.struct("text")).alias("choices")))
+    content = F.to_json(F.struct(F.col("text").alias("content")))
+    raw = F.when(kind == 0, choices).when(kind == 1, content).otherwise('{"choices":[]}')
+    return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", X.first_phrase(X.reply_text(raw)).alias("completion"))
+
+
+@query
+def completion_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.concat(F.lit("text\n```"), F.when(F.col("turn") % 2 == 0, "python\nx = 1").otherwise("sql\nSELECT 1"))
+    return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", X.completion_budget(prefix).alias("max_tokens"))
