@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from vellum.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CATALOGUE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="synthetic tables are not here")
 
