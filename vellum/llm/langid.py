@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_sample, pinned, slices
+from .common import fraction_sample, least_count, pinned, slices
 
 SAMPLE_ROWS = 1_500
-MAX_WORDS = 100_000
+MAX_WORDS = 60_000
 MAX_GRAMS = 20_000
 GRAM = 4
 SEED = 17
@@ -153,17 +153,18 @@ def learn(
         yield out()
 
     counted = sample.mapInArrow(count, "lang string, size int, unit string, n bigint")
-    units = pinned(counted.groupBy("size", "unit").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")))
-    langs = sorted({r["lang"] for r in sample.select("lang").distinct().collect()})
+    units = pinned(counted.groupBy("size", "unit", "lang").agg(F.sum("n").alias("n")))
+    langs = sorted(r["lang"] for r in units.select("lang").distinct().collect())
+    place = {lang: i for i, lang in enumerate(langs)}
     counts: dict[int, dict[str, list[int]]] = {}
     for k in range(GRAM + 1):
-        top = units.filter(F.col("size") == k).orderBy(F.desc("total"), "unit").limit(max_words if k == 0 else max_grams)
+        totals = units.filter(F.col("size") == k).groupBy("unit").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+        totals = pinned(totals)
+        least = least_count(totals, "total", max_words if k == 0 else max_grams)
+        top = totals.filter(F.col("total") >= least).select("unit", F.explode("by").alias("b")).select("unit", "b.lang", "b.n").toArrow()
         held = counts[k] = {}
-        for r in top.collect():
-            row = [0] * len(langs)
-            for part in r["by"]:
-                row[langs.index(part["lang"])] += part["n"]
-            held[r["unit"]] = row
+        for unit, lang, n in zip(top["unit"].to_pylist(), top["lang"].to_pylist(), top["n"].to_pylist()):
+            held.setdefault(unit, [0] * len(langs))[place[lang]] += n
     return Model(langs, counts)
 
 
