@@ -32,6 +32,8 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
 MAX_WORDS = 20_000
 BUCKETS = 1 << 16
 ROUNDS, PASSES, BATCH, RATE = 4, 4, 128, 0.01
+#: A round makes at least this many steps, however few texts there are.
+MIN_STEPS = 120
 SEED = 23
 #: Weight of the class shares in a unit's log-odds, in texts.
 PRIOR = 10.0
@@ -313,7 +315,8 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED, rounds:
             chosen.append((i, starts[best]))
             if not labels[i]:
                 chosen.append((i, starts[int(rng.integers(len(starts)))]))
-        for _ in range(PASSES):
+        steps = -(-len(chosen) // BATCH)
+        for _ in range(max(PASSES, -(-MIN_STEPS // steps))):
             order = rng.permutation(len(chosen))
             for a in range(0, len(order), BATCH):
                 batch = [chosen[k] for k in order[a : a + BATCH]]
