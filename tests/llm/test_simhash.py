@@ -60,7 +60,7 @@ def test_keys_meet_for_all_close_fingerprints():
 
 def test_fingerprints_match_the_definition():
     texts = [b"", b"one", b"One  two", b"a b c", b"a\x0bb c d e f g A b", b"x y z " * 40, "é É ß ü".encode()]
-    assert simhash.fingerprints(texts).tolist() == [brute_fingerprint(t.decode()) for t in texts]
+    assert simhash.fingerprints(texts, variants=2)[0].tolist() == [brute_fingerprint(t.decode()) for t in texts]
 
 
 def _texts():
@@ -93,6 +93,19 @@ def test_oversized_buckets_go_the_exact_way(spark):
     _check(spark, 2)
 
 
+def test_variants_match_brute_force(spark):
+    texts = [t for t in _texts() if t and len(t.split()) > 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = simhash.fingerprints([t.encode() for t in texts], variants=3)
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in combinations(range(len(texts)), 2):
+            if (np.bitwise_count(fps[:, i] ^ fps[:, j]) <= 3).any():
+                root[i] = root[j] = min(root[i], root[j])
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs, variants=3).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame([(5, "a b c d", 1), (3, "A b c d", 2), (3, "a b c d", 2), (9, "q r s t u v", 3), (None, "a b c d", 4)], "doc_id long, text string, component int")
     kept = simhash.keep_representatives(docs)

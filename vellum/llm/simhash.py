@@ -48,31 +48,47 @@ def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[i
     return [digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(size))))]
 
 
-def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Majority bits of the shingle hashes of each text, as uint64."""
+def _remix(h: np.ndarray, variant: int) -> np.ndarray:
+    """Another well-spread hash of the same shingles; variant 0 is the hash itself."""
+    if variant:
+        h = (h ^ np.uint64(variant * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def fingerprints(texts: list[bytes], size: int = SHINGLE, variants: int = 1) -> np.ndarray:
+    """Majority bits of the shingle hashes of each text, as uint64: a row per variant of the hash."""
     hashes = [shingle_hashes(t, size) for t in texts]
     counts = np.array([len(h) for h in hashes], dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros((variants, len(texts)), dtype=np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
         flat = np.array([h for hs in hashes for h in hs], dtype=np.uint64)
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[full] = np.packbits(ones * 2 > counts[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        for v in range(variants):
+            bits = np.unpackbits(_remix(flat, v).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            out[v, full] = np.packbits(ones * 2 > counts[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row; fp holds the 64 bits as a signed long."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, variants: int = 1) -> DataFrame:
+    """(id, fp, fp1, ...) of every row; each holds the 64 bits of one variant as a signed long."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = _names(variants)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            fp = fingerprints(bytes_of(batch.column(1)).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = fingerprints(bytes_of(batch.column(1)).to_pylist(), size, variants)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(row.view(np.int64)) for row in fp)], ["id", *names])
+
+    shape = ", ".join(f"{n} bigint" for n in names)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(mark, f"id {id_type}, {shape}")
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(mark, f"id {id_type}, fp bigint")
+
+def _names(variants: int) -> list[str]:
+    return ["fp", *(f"fp{v}" for v in range(1, variants))]
 
 
 class Golay:
@@ -245,23 +261,40 @@ def fingerprint_links(marks: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     return links if apart is None else links.unionByName(apart)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(id, fp, component) of every row; component is the smallest id reachable over links."""
-    rows = pinned(fingerprint_table(docs, id_col, text_col, size))
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bucket_rows: int = BUCKET_ROWS, variants: int = 1
+) -> DataFrame:
+    """(id, fp, component) of every row; component is the smallest id reachable over links.
+
+    With more variants each row has several independent fingerprints, and rows link that
+    are close in any: of near copies whose bits differ by chance, more are found.
+    """
+    names = _names(variants)
+    rows = pinned(fingerprint_table(docs, id_col, text_col, size, variants))
     marks = pinned(rows.filter(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("node")))
-    roots = lookup(connected_components(fingerprint_links(marks, bucket_rows)).withColumnRenamed("node", "_node"))
+    links = fingerprint_links(marks, bucket_rows)
+    if variants > 1:
+        # Rows of one first fingerprint are one node; their other fingerprints may differ.
+        held = rows.filter(F.col("id").isNotNull()).select(*names).distinct().join(marks.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
+        held = pinned(held.select("node", *names[1:]))
+        for name in names[1:]:
+            other = pinned(held.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node")))
+            stars = held.join(other.toDF("_fp", "_node"), F.col(name) == F.col("_fp")).filter("node <> _node")
+            links = links.union(stars.select("node", "_node")).union(fingerprint_links(other, bucket_rows))
+    roots = lookup(connected_components(links).withColumnRenamed("node", "_node"))
     classes = pinned(marks.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("component")))
     return rows.join(classes, F.col("fp") == F.col("_fp"), "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, variants: int = 1) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with all columns.
 
     Rows without an id stay. Rows that repeat an id stay once.
     """
-    kept = near_duplicates(docs, id_col, text_col, size).filter(F.col("id") == F.col("component"))
+    kept = near_duplicates(docs, id_col, text_col, size, variants=variants).filter(F.col("id") == F.col("component"))
     ids = pinned(kept.groupBy(F.col("id").alias("_keep")).agg(F.count("*").alias("_times")))
     staying = docs.join(ids.select("_keep"), docs[id_col] == F.col("_keep"), "left_semi")
     if not ids.filter("_times > 1").isEmpty():
         staying = staying.dropDuplicates([id_col])
-    return staying.unionByName(docs.filter(docs[id_col].isNull())) if not docs.filter(docs[id_col].isNull()).isEmpty() else staying
+    nameless = docs.filter(docs[id_col].isNull())
+    return staying if nameless.isEmpty() else staying.unionByName(nameless)
