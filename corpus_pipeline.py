@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.llm import decontam, packing, secrets, simhash, toxicity
 from vellum.llm.common import shared_path, text_fold
 
+#: Independent fingerprints in which near copies may meet.
+FINGERPRINTS = 4
 #: Documents from this toxicity score on go.
 TOXIC = 0.5
 
@@ -34,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies, that of the smallest id."""
-    return simhash.keep_representatives(docs)
+    return simhash.keep_representatives(docs, variants=FINGERPRINTS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
