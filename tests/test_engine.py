@@ -138,6 +138,10 @@ def edits(spark, seconds, composing=()):
 def test_debounce_gaps(spark):
     saves = temporal.debounced(edits(spark, [0, 1, 3, 5.5, 5.5, 9], composing=(5,)))
     assert sorted((r["content"], r["n_edits"]) for r in saves.collect()) == [("c2", 3), ("c4", 2)]
+    for bucket in ("second", "minute", "day"):
+        rows = edits(spark, [0, 1, 3, 5.5, 5.5, 9, 60, 61, 63.5, 200], composing=(5,))
+        both = [sorted((r["first_ts"], r["last_ts"], r["content"], r["n_edits"]) for r in d.collect()) for d in (temporal.debounced(rows), temporal.debounced_wide(rows, 2, bucket=bucket))]
+        assert both[0] == both[1]
     states = temporal.save_status(edits(spark, [0, 1, 30]), temporal.debounced(edits(spark, [0, 1]))).collect()
     assert [r["status"] for r in states] == ["unsaved"]
 

@@ -20,6 +20,34 @@ def debounced(edits: DataFrame, gap: str = "2 seconds", key: str = "doc_id", ord
     )
 
 
+def debounced_wide(edits: DataFrame, gap_s: float, key: str = "doc_id", order: str = "edit_id", bucket: str = "day") -> DataFrame:
+    """The same saves for batches in which one key may hold much of the table.
+
+    Each edit is numbered by the bursts before it, in two levels: within a time bucket of
+    its key by a window, and over buckets by their counts and last times. So no task holds
+    more than one bucket of a key, and bursts are then grouped by key and number.
+    """
+    rows = edits.filter(~F.col("is_composing")).withColumn("_b", F.date_trunc(bucket, F.col("ts")))
+    inside = Window.partitionBy(key, "_b").orderBy("ts", order)
+    quiet = lambda a, b: F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp")) > int(gap_s * 1_000_000)
+    marked = rows.withColumn("_prev", F.lag("ts").over(inside)).withColumn("_fresh", F.coalesce(quiet(F.col("_prev"), F.col("ts")), F.lit(False)).cast("long"))
+    marked = marked.withColumn("_n", F.sum("_fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(key, "_b").agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.sum("_fresh").alias("_inner"))
+    over = Window.partitionBy(key).orderBy("_b")
+    edge = ends.withColumn("_open", F.coalesce(quiet(F.lag("_hi").over(over), F.col("_lo")), F.lit(False)).cast("long"))
+    base = edge.select(
+        F.col(key).alias("_key"),
+        F.col("_b").alias("_bucket"),
+        (F.sum(F.col("_inner") + F.col("_open")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inner")).alias("_base"),
+    )
+    numbered = marked.join(base, F.col(key).eqNullSafe(F.col("_key")) & F.col("_b").eqNullSafe(F.col("_bucket")))
+    return (
+        numbered.groupBy(key, (F.col("_n") + F.col("_base")).alias("_burst"))
+        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("content", F.struct("ts", order)).alias("content"), F.count("*").alias("n_edits"))
+        .drop("_burst")
+    )
+
+
 def save_status(edits: DataFrame, saves: DataFrame, key: str = "doc_id") -> DataFrame:
     """saved or unsaved per document, by whether an edit came after the last save."""
     last_edit = edits.groupBy(key).agg(F.max("ts").alias("edit_ts"))

@@ -220,7 +220,7 @@ def request_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def debounced_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    saves = temporal.debounced(S.edits_v(spark, sf_dir), "30 minutes")
+    saves = temporal.debounced_wide(S.edits_v(spark, sf_dir), 1800)
     return saves.withColumns({c: D.iso(F.col(c)) for c in ("first_ts", "last_ts")})
 
 
