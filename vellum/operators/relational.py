@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import text as X
 from ..sources.schemas import DOCUMENT_LIST
 
@@ -90,3 +91,20 @@ def folder_paths(spark: SparkSession, folders: DataFrame, sep: str = "/") -> Dat
 def answerable(messages: DataFrame, column: str = "text") -> DataFrame:
     """Messages that are not blank."""
     return messages.filter(~X.blank(F.col(column)))
+
+
+def as_json(documents: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(id, json) of every document, times as ISO text, nulls kept."""
+    kinds = dict(documents.dtypes)
+    fields = [(D.iso(F.col(c)) if kinds[c].startswith("timestamp") else F.col(c)).alias(c) for c in columns or DOCUMENT_LIST]
+    return documents.select("id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(rows: DataFrame, schema: str, column: str = "json") -> DataFrame:
+    return rows.select("id", F.from_json(column, schema).alias("_row")).select("_row.*")
+
+
+def insert_folders(folders: DataFrame, new: DataFrame) -> DataFrame:
+    """Folders with new active ones behind them; parent 0 is the root."""
+    rows = new.select("id", "title", F.nullif("parent_id", F.lit(0)).alias("parent_id"), F.lit(True).alias("is_active"))
+    return folders.unionByName(rows)

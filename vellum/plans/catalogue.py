@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import prompts
 from ..functions import text as X
 from ..operators import audit, changes, chunking, models, relational, retrieval, temporal
 from ..sources import fixtures as S
@@ -95,6 +96,16 @@ _documents(
     "doc_soft_delete",
     lambda d: changes.soft_delete(d, d.filter(F.col("id") % 5 == 0), now()).select("id", "is_active", D.iso(F.col("updated_at")).alias("updated_at")),
 )
+_documents("doc_json", lambda d: relational.as_json(relational.active(d).withColumn("content", X.preview(F.col("content")))))
+_documents(
+    "doc_json_read",
+    lambda d: relational.from_json(
+        relational.as_json(d), "id long, title string, content string, folder_id int, created_at string, updated_at string"
+    ),
+)
+_documents("doc_insert", lambda d: changes.insertions(d, F.col("created_at")).withColumn("ts", D.iso(F.col("ts"))))
+_documents("active_chunks", lambda d: store.of_active_documents(chunking.fixed_chunks(d), d))
+_documents("index_delete", lambda d: store.without_documents(chunking.fixed_chunks(d), d.filter(F.col("id") % 4 == 0).select(F.col("id").alias("doc_id"))))
 _documents("polish_text", lambda d: models.polished(d.select("id", F.col("content").alias("text")), models.StubModel()).select("id", "reply", "status"))
 _documents("extend_text", lambda d: models.extended(d.select("id", F.col("content").alias("text")), models.StubModel()).select("id", "reply", "status"))
 _documents("complete_text", lambda d: models.completions(_halves(d).select("id", "prefix", "suffix"), models.StubModel()).select("id", "completion"))
@@ -130,6 +141,28 @@ def folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.folder_paths(spark, S.folders_v(spark, sf_dir))
 
 
+@query
+def folder_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = S.folders_v(spark, sf_dir)
+    copies = folders.filter("is_active").select((F.col("id") + 100).alias("id"), F.concat(F.col("title"), F.lit(" 2")).alias("title"), F.coalesce("parent_id", F.lit(0)).alias("parent_id"))
+    return relational.insert_folders(folders, copies)
+
+
+@query
+def chat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even conversations ask with notes, odd ones without; blank messages ask nothing."""
+    asked = relational.answerable(_last_messages(spark, sf_dir), "question")
+    with_notes = prompts.answer(F.lit("none"), F.col("question"))
+    return asked.select("conv_id", F.when(F.col("conv_id") % 2 == 0, with_notes).otherwise(prompts.plain(F.col("question"))).alias("prompt"))
+
+
+@query
+def save_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits = S.edits_v(spark, sf_dir)
+    saves = temporal.debounced_wide(edits.filter(F.col("edit_id") % 5 != 0), 1800)
+    return temporal.save_status(edits, saves).select("doc_id", "status")
+
+
 @query
 def overlap_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")

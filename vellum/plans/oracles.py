@@ -46,6 +46,18 @@ ORACLES = {
     "doc_missing": f"WITH {DOCS} SELECT id, title, content, folder_id FROM docs WHERE id = 10 AND is_active",
     "doc_home": f"WITH {DOCS} SELECT id, title, substr(content, 1, 200) AS content FROM docs WHERE is_active ORDER BY updated_at DESC NULLS LAST, id LIMIT 1",
     "doc_newest": f"WITH {DOCS} SELECT id, title FROM docs WHERE is_active",
+    "doc_json": f"""WITH {DOCS} SELECT id, to_json({{'id': id, 'title': title, 'content': substr(content, 1, 200), 'folder_id': folder_id, 'created_at': strftime(created_at, {ISO}),
+        'updated_at': strftime(updated_at, {ISO})}})::VARCHAR AS json FROM docs WHERE is_active""",
+    "doc_json_read": f"WITH {DOCS} SELECT id, title, content, folder_id, strftime(created_at, {ISO}) AS created_at, strftime(updated_at, {ISO}) AS updated_at FROM docs",
+    "doc_insert": f"""WITH {DOCS} SELECT id, 1 AS version, 'create' AS op, title, content, folder_id, true AS title_set, true AS content_set, true AS folder_id_set, true AS is_active,
+        strftime(created_at, {ISO}) AS ts FROM docs""",
+    "active_chunks": f"WITH {DOCS}, chunks AS ({CHUNKS.format(rows='docs')}) SELECT * FROM chunks WHERE doc_id IN (SELECT id FROM docs WHERE is_active)",
+    "index_delete": f"WITH {DOCS}, chunks AS ({CHUNKS.format(rows='docs')}) SELECT * FROM chunks WHERE doc_id % 4 <> 0",
+    "folder_insert": f"""WITH {FOLDERS} SELECT id, title, parent_id, is_active FROM folders UNION ALL SELECT CAST(id + 100 AS INTEGER), title || ' 2', parent_id, true FROM folders WHERE is_active""",
+    "chat_prompt": """WITH m AS (SELECT conv_id, arg_max(text, turn) AS q FROM conversations GROUP BY conv_id)
+        SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'Answer the question from the notes below. Say so if they do not hold the answer.' || chr(10) || chr(10) || 'Notes:' || chr(10) || 'none' || chr(10) || chr(10) || 'Question: ' || q
+        ELSE 'Answer the question.' || chr(10) || chr(10) || 'Question: ' || q END AS prompt FROM m WHERE trim(q) <> ''""",
+    "save_status": """SELECT user_id AS doc_id, CASE WHEN max(ts) <= max(ts) FILTER (WHERE event_id % 5 <> 0 AND event_id % 13 <> 0) THEN 'saved' ELSE 'unsaved' END AS status FROM events GROUP BY user_id""",
     "folder_all": f"WITH {FOLDERS} SELECT id, title, parent_id FROM folders WHERE is_active",
     "folder_get": f"WITH {FOLDERS} SELECT id, title, parent_id FROM folders WHERE id = 16",
     "folder_contents_root": f"""WITH {DOCS}, {FOLDERS} SELECT 'folder' AS kind, CAST(id AS BIGINT) AS id, title FROM folders WHERE is_active AND parent_id IS NULL
