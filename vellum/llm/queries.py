@@ -126,6 +126,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages
+        )
+        SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN strlen(h) >= 1000 AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(h) >= 1000 AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+        FROM p
+    """,
     "op10_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
