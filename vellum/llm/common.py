@@ -8,11 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Row bound under which a lookup table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Bytes of text that Python works on at a time.
+SLICE_BYTES = 16_000_000
 #: Monotonic ids hold the row's place in its partition in their low 33 bits.
 _PLACE = (1 << 33) - 1
 #: Bytes that separate words: space and U+0009 to U+000D.
@@ -114,10 +117,23 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batches of at most ``rows`` rows and about ``size`` bytes of text; a longer row is a piece of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if not batch.num_rows:
+            continue
+        lengths = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+                lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            fit = int(np.searchsorted(ends, before + size, "right"))
+            to = min(max(fit, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def text_fold(column: str, modulus: int) -> F.Column:
