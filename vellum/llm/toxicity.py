@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_sample, slices
+from .common import fraction_sample, lookup, slices
 
 SAMPLE_ROWS = 2_000
 WINDOW, STRIDE = 32, 24
@@ -353,7 +353,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter(F.col("label").isin(0, 1))
     sample = fraction_sample(marked, "id", sample_rows, SEED, by="label")
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = texts.join(sample, "id").orderBy("id", "label", "text").select("text", "label").toArrow()
+    rows = texts.join(lookup(sample), "id").orderBy("id", "label", "text").select("text", "label").toArrow()
     return train(rows["text"].to_pylist(), rows["label"].to_numpy().astype(np.int64))
 
 
