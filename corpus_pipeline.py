@@ -15,10 +15,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontam, packing, secrets, simhash, toxicity
+from vellum.llm import decontam, nearcopies, packing, secrets, toxicity
 from vellum.llm.common import shared_path, text_fold
 
-#: Independent fingerprints in which near copies may meet.
+#: Fingerprints of the near-copy stage before it verified shingles; its results are compared with them.
 FINGERPRINTS = 4
 #: Documents from this toxicity score on go.
 TOXIC = 0.5
@@ -35,8 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies, that of the smallest id."""
-    return simhash.keep_representatives(docs, variants=FINGERPRINTS)
+    """One document of every group of near copies (five-word shingles, 0.8), that of the smallest id."""
+    return nearcopies.keep_representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
