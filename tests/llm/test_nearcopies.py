@@ -87,3 +87,13 @@ def test_forest_spans_a_bucket():
 
 def test_empty_table(spark):
     assert nearcopies.keep_representatives(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pipeline_stage_keeps_texts_that_only_fingerprints_link(spark):
+    """Repeated lines make up both fingerprints; of the shingles, few are shared."""
+    lines = "same line again " * 150
+    rows = [(k, lines + " ".join(f"{k}u{n}" for n in range(20))) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = simhash.fingerprints([t.encode() for _, t in rows], variants=corpus_pipeline.FINGERPRINTS)
+    assert (np.bitwise_count(fps[:, :1] ^ fps) <= 3).any(0).all() and len(brute_kept(rows)) == 4
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == [0, 1, 2, 3]
