@@ -97,3 +97,10 @@ def test_pipeline_stage_keeps_texts_that_only_fingerprints_link(spark):
     fps = simhash.fingerprints([t.encode() for _, t in rows], variants=corpus_pipeline.FINGERPRINTS)
     assert (np.bitwise_count(fps[:, :1] ^ fps) <= 3).any(0).all() and len(brute_kept(rows)) == 4
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == [0, 1, 2, 3]
+
+
+def test_rows_that_repeat_an_id_stay_with_their_own_texts(spark):
+    rows = [(1, "a b c d e f"), (3, "A b c d e f"), (3, "g h i j k l"), (3, "g h i j k l"), (3, "m n o p q r"), (7, "G h i j k l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, "a b c d e f"), (3, "g h i j k l"), (3, "m n o p q r")]
