@@ -8,12 +8,15 @@ inner product from above; annuli are expanded from the best bound on, and a quer
 once its k-th score beats the next bound.
 
 Scores are exact integers. Floats serve for bounds only, which are widened against
-rounding. Queries are taken in blocks of bounded size, each held against all rows.
+rounding. The queries are numbered and taken in blocks of bounded bytes, however they are
+partitioned; each block is one pass over the index, whose hits are stored before the next.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take
 no part, nor do rows without an id; vectors of another length than the query's are no
-candidates for it; repeated rows are candidates each, but a row of the query's own id is
-not; an empty table gives no rows; other columns are ignored.
+candidates for it, nor is any row of the query's own id; rows that repeat id and vector
+are one row, as query and as candidate; rows that repeat an id with another vector are
+each a query, ranked by itself, and a candidate; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
+from pyspark.errors import AnalysisException
 
-from .common import hash_sample, pinned, shuffle_partitions
+from .common import hash_sample, lookup, pinned, shared_path, shuffle_partitions, with_ordinal
 
 #: Components become floor(SCALE * x).
 SCALE = 1024
@@ -35,8 +39,10 @@ SCALE = 1024
 SAMPLE_ROWS = 4096
 PIVOTS = 64
 ANNULUS_ROWS = 256
-#: Queries that one job carries.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that one pass over the index carries.
+QUERY_BYTES = 16_000_000
+#: Queries that a task bounds against its annuli at a time.
+QUERY_ROWS = 1024
 SEED = 71
 
 
@@ -95,15 +101,16 @@ NONE = np.iinfo(np.int64).min + 1
 
 
 def search_rows(
-    ids: np.ndarray, x: np.ndarray, cell: np.ndarray, far: np.ndarray, q_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, floor: np.ndarray, k: int, annulus: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of the given rows for each query that can reach ``floor``; NONE fills short lists."""
+    ids: np.ndarray, x: np.ndarray, cell: np.ndarray, far: np.ndarray, q_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, floor: np.ndarray, best: np.ndarray, found: np.ndarray, annulus: int
+) -> None:
+    """Fold the given rows into the k best (scores and ids) of each query, where they can reach ``floor``."""
+    k = best.shape[1]
     order = np.lexsort((far, cell))
     ids, x, cell, far = ids[order], x[order], cell[order], far[order]
     cuts = np.flatnonzero(np.diff(cell)) + 1
     starts = np.concatenate([np.arange(a, b, annulus) for a, b in zip([0, *cuts], [*cuts, len(cell)])])
-    stops = np.concatenate([starts[1:], [len(cell)]])
     # An annulus that would run into the next cell ends with its own.
+    stops = np.concatenate([starts[1:], [len(cell)]])
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     q_far = _distances(qf, pivots)
     q_sq, x_sq = (qf * qf).sum(1), (xf * xf).sum(1)
@@ -113,7 +120,6 @@ def search_rows(
     size = q_sq[:, None] + largest[None, :]
     bound = (size - gap * gap) / 2 + 1e-6 * size + 1.0
     ranked = np.argsort(-bound, axis=1, kind="stable")
-    best, found = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)
     live = np.arange(len(q))
     for turn in range(len(starts)):
         block = ranked[live, turn]
@@ -128,7 +134,6 @@ def search_rows(
             scores = _scores(q[rows], x[a:z])
             scores[q_ids[rows][:, None] == ids[None, a:z]] = NONE
             _merge(best, found, rows, scores, np.broadcast_to(ids[a:z], scores.shape), k)
-    return best, found
 
 
 def top_k_search(
@@ -137,7 +142,7 @@ def top_k_search(
     k: int = 10,
     n_pivots: int = PIVOTS,
     sample_rows: int = SAMPLE_ROWS,
-    query_block: int = QUERY_BLOCK,
+    query_bytes: int = QUERY_BYTES,
     annulus: int = ANNULUS_ROWS,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
@@ -147,20 +152,26 @@ def top_k_search(
     out = T.StructType(
         [T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())]
     )
-    rows, asked = scaled(table, id_col, vec_col), scaled(queries, id_col, vec_col)
-    parts = []
+    rows, asked = scaled(table, id_col, vec_col), scaled(queries, id_col, vec_col).distinct()
+    # Only ids are shuffled to find repeated ones; their few rows are then made distinct.
+    again = lookup(rows.groupBy(F.col("id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").select("_again"))
+    if not again.isEmpty():
+        met = F.col("id") == F.col("_again")
+        rows = rows.join(again, met, "left_anti").unionByName(rows.join(again, met, "left_semi").distinct())
+    path = shared_path(spark, "hits")
     for (dim,) in rows.select(F.size("v")).distinct().collect():
-        parts.append(_search_dim(spark, rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim), dim, k, n_pivots, sample_rows, query_block, annulus))
-    found = None
-    for p in parts:
-        found = p if found is None else found.unionByName(p)
-    if found is None:
+        _search_dim(spark, rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim), dim, path, k, n_pivots, sample_rows, query_bytes, annulus)
+    try:
+        return spark.read.schema(out).parquet(path)
+    except AnalysisException:  # no query has been asked
         return spark.createDataFrame([], out)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_dim(spark: SparkSession, rows: DataFrame, asked: DataFrame, dim: int, k: int, n_pivots: int, sample_rows: int, query_block: int, annulus: int) -> DataFrame:
+def _search_dim(spark: SparkSession, rows: DataFrame, asked: DataFrame, dim: int, path: str, k: int, n_pivots: int, sample_rows: int, query_bytes: int, annulus: int) -> None:
+    held = pinned(with_ordinal(asked, ["id"], "no"))
+    n = held.count()
+    if not n:
+        return
     sample = hash_sample(rows, "id", sample_rows, SEED).orderBy("id").limit(sample_rows).toArrow()
     s_ids = sample["id"].to_numpy()
     s_vec = _matrix(sample["v"].combine_chunks(), dim) if len(s_ids) else np.zeros((0, dim), np.int64)
@@ -179,40 +190,46 @@ def _search_dim(spark: SparkSession, rows: DataFrame, asked: DataFrame, dim: int
     index = pinned(
         rows.mapInArrow(keyed, "id bigint, v array<bigint>, cell int, far double").repartitionByRange(shuffle_partitions(spark), "cell", "far", "id")
     )
-    held = pinned(asked.withColumn("_b", F.monotonically_increasing_id()))
-    per_part = held.groupBy(F.shiftright("_b", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
-    done = None
-    for p, n in ((r["p"], r["n"]) for r in per_part):
-        for a in range(0, n, query_block):
-            low = (p << 33) + a
-            block = held.filter((F.col("_b") >= low) & (F.col("_b") < low + query_block)).drop("_b").toArrow()
-            hits = _search_block(spark, index, block, s_ids, s_vec, pivots, dim, k, annulus)
-            done = hits if done is None else done.unionByName(hits)
-    return done if done is not None else spark.createDataFrame([], "query_id long, vec_id long, score long")
+    step = max(1, query_bytes // (8 * dim))
+    for a in range(0, n, step):
+        block = held.filter((F.col("no") >= a) & (F.col("no") < a + step)).orderBy("no").toArrow()
+        _search_block(spark, index, block, s_ids, s_vec, pivots, dim, k, annulus).write.mode("append").parquet(path)
 
 
-def _search_block(spark: SparkSession, index: DataFrame, block: pa.Table, s_ids: np.ndarray, s_vec: np.ndarray, pivots: np.ndarray, dim: int, k: int, annulus: int) -> DataFrame:
-    q_ids, q = block["id"].to_numpy(), _matrix(block["v"].combine_chunks(), dim)
+def _floors(q_ids: np.ndarray, q: np.ndarray, s_ids: np.ndarray, s_vec: np.ndarray, k: int) -> np.ndarray:
+    """A score that the k-th best of each query reaches at least, from the sample."""
     floor = np.full(len(q), NONE)
-    if len(s_ids) > k:
-        first = np.full((len(q), k), NONE)
-        dummy = np.zeros((len(q), k), np.int64)
+    if len(s_ids) <= k:
+        return floor
+    best = np.full((len(q), k), NONE)
+    dummy = np.zeros((len(q), k), np.int64)
+    for b in range(0, len(q), QUERY_ROWS):
+        part = np.arange(b, min(b + QUERY_ROWS, len(q)))
         for a in range(0, len(s_ids), 512):
-            scores = _scores(q, s_vec[a : a + 512])
-            scores[q_ids[:, None] == s_ids[None, a : a + 512]] = NONE
-            _merge(first, dummy, np.arange(len(q)), scores, np.broadcast_to(s_ids[a : a + 512], scores.shape), k)
-        floor = first[:, k - 1]
-    sent = spark.sparkContext.broadcast((q_ids, q, pivots, floor))
+            scores = _scores(q[part], s_vec[a : a + 512])
+            scores[q_ids[part, None] == s_ids[None, a : a + 512]] = NONE
+            _merge(best, dummy, part, scores, np.broadcast_to(s_ids[a : a + 512], scores.shape), k)
+    return best[:, k - 1]
+
+
+def _search_block(spark: SparkSession, index: DataFrame, block: pa.Table, s_ids: np.ndarray, s_vec: np.ndarray, pivots: np.ndarray, dim: int, k: int, annulus: int) -> DataFrame:
+    q_ids, q = block["id"].to_numpy(), _matrix(block["v"].combine_chunks(), dim)
+    sent = spark.sparkContext.broadcast((block["no"].to_numpy(), q_ids, q, pivots, _floors(q_ids, q, s_ids, s_vec, k)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q, pivots, floor = sent.value
+        numbers, q_ids, q, pivots, floor = sent.value
+        best, ids = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            best, ids = search_rows(
-                batch.column(0).to_numpy(), _matrix(batch.column(1), dim), batch.column(2).to_numpy(), batch.column(3).to_numpy(), q_ids, q, pivots, floor, k, annulus
-            )
-            row, col = np.nonzero(best != NONE)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[row, col]), pa.array(best[row, col])], ["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+            if batch.num_rows:
+                held = batch.column(0).to_numpy(), _matrix(batch.column(1), dim), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                for a in range(0, len(q), QUERY_ROWS):
+                    part = slice(a, a + QUERY_ROWS)
+                    search_rows(*held, q_ids[part], q[part], pivots, floor[part], best[part], ids[part], annulus)
+        for a in range(0, len(q), QUERY_ROWS):
+            row, col = np.nonzero(best[a : a + QUERY_ROWS] != NONE)
+            row += a
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), pa.array(q_ids[row]), pa.array(ids[row, col]), pa.array(best[row, col])], ["no", "query_id", "vec_id", "score"])
+
+    hits = index.mapInArrow(search, "no bigint, query_id bigint, vec_id bigint, score bigint")
+    by = Window.partitionBy("no").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
