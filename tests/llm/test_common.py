@@ -35,3 +35,25 @@ def test_least_count(spark):
     for rows, least in ((200, 1), (29, 2), (28, 5), (9, 5), (8, 10_000), (4, 10_000), (3, 40_000), (0, 160_000)):
         assert common.least_count(counts, "n", rows) == least
     assert np.int64(common.least_count(counts.limit(0), "n", 5)) == 10_000
+
+
+def test_bounded_sample(spark):
+    """Bounds of rows and bytes hold with repeated ids, null ids and one very long text."""
+    rows = [(i, "x" * 10, i % 2) for i in range(400)] + [(None, f"t{i}", 0) for i in range(200)] + [(7, "again", 1)] * 300 + [(1000, "y" * 5000, 1)]
+    table = spark.createDataFrame(rows, "id long, text string, k int")
+    for most, size in ((50, 10**6), (1000, 400), (20, 10**6)):
+        got = common.bounded_sample(table, ["id", "text"], most, size, 5, text="text", by="k").collect()
+        for k in (0, 1):
+            mine = [r for r in got if r["k"] == k]
+            assert 0 < len(mine) <= most and sum(len(r["text"]) for r in mine) <= size
+    some = common.bounded_sample(table, ["id", "text"], 100, 10**6, 5, text="text").collect()
+    nameless = sum(r["id"] is None for r in some)
+    assert 0 < nameless < 60 and 40 < len(some) <= 100 and sum(r["text"] == "again" for r in some) == 0
+    assert len(common.bounded_sample(table.limit(9), ["id"], 100, 10**6, 5, text="text").collect()) == 9
+    assert common.bounded_sample(table.limit(0), ["id"], 5, 100, 5, text="text", by="k").collect() == []
+
+
+def test_lookup_is_bounded_in_bytes(spark):
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) AS t")
+    hint = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hint(common.lookup(wide)) and not hint(common.lookup(wide, size=5000)) and not hint(common.lookup(wide, rows=9))

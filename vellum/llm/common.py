@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Row bound under which a lookup table is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes as JSON, up to which a lookup table is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
 #: Bytes of text that Python works on at a time.
 SLICE_BYTES = 16_000_000
 #: Monotonic ids hold the row's place in its partition in their low 33 bits.
@@ -24,12 +25,14 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; one of this machine only where all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="vellum-ckpt-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -37,8 +40,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted when the application ends."""
+    path = f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Only a path that is there can be marked; writers want a fresh one in it.
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{path}/data"
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -47,14 +56,17 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A join side: broadcast if it was counted to be small, else a plain table.
+def lookup(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A join side: broadcast if it was counted and measured to be small, else a plain table.
 
     It is pinned first, so that a shuffled join against it reads an exchange on both
     sides and adaptive execution can split a hot key.
     """
     held = pinned(df)
-    return F.broadcast(held) if held.count() <= rows else held
+    if held.count() > rows:
+        return held
+    taken = held.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(held) if taken <= size else held
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -152,17 +164,39 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     return df.filter(mark <= F.lit(last[0])) if last[1] >= rows else df
 
 
-def fraction_sample(df: DataFrame, key: str, rows: int, seed: int, by: str | None = None) -> DataFrame:
-    """About ``rows`` rows of ``df``, of each value of ``by`` if given, by a seeded hash of ``key``.
+def bounded_sample(df: DataFrame, keys: list[str], rows: int, size: int, seed: int, text: str | None = None, by: str | None = None) -> DataFrame:
+    """Rows of ``df`` of the smallest seeded hashes of ``keys``, of each value of ``by`` if given.
 
-    All rows stay where there are fewer. Only counts are gathered for it.
+    At most ``rows`` rows and ``size`` bytes of ``text`` (of each value). Rows of one hash, as
+    repeated rows are, enter together; not at all if they alone take over an eighth of a bound. A first cut by the share of rows leaves about twice the bound; only its
+    hashes are gathered.
     """
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    if by is None:
-        n = df.select(F.lit(1)).count()
-        return df.filter(unit < F.lit(rows / max(n, 1)))
-    shares = lookup(df.groupBy(F.col(by).alias("_by")).agg((F.lit(float(rows)) / F.count("*")).alias("_share")))
-    return df.join(shares, F.col(by) == F.col("_by")).filter(unit < F.col("_share")).drop("_by", "_share")
+    unit = F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    part = F.col(by) if by else F.lit(0)
+    marked = df.withColumn("_unit", unit).withColumn("_by", part)
+    shares = lookup(marked.groupBy("_by").agg((F.lit(2.0 * rows) / F.count("*")).alias("_share")).withColumnRenamed("_by", "_of"))
+    near = marked.join(shares, F.col("_by").eqNullSafe(F.col("_of"))).filter(F.col("_unit") < F.col("_share")).drop("_of", "_share")
+    taken = F.sum(F.coalesce(F.octet_length(text), F.lit(0))) if text else F.lit(0)
+    last: dict = {}
+    left_out = []
+    full: dict[object, list[int]] = {}
+    for r in near.groupBy("_by", "_unit").agg(F.count("*").alias("n"), taken.alias("size")).orderBy("_unit").collect():
+        held = full.setdefault(r["_by"], [0, 0])
+        if r["n"] > max(rows // 8, 1) or r["size"] > size // 8:
+            left_out.append(r["_unit"])
+        elif held[0] + r["n"] > rows or held[1] + r["size"] > size:
+            held[0] = rows + 1
+        else:
+            held[0], held[1] = held[0] + r["n"], held[1] + r["size"]
+            last[r["_by"]] = r["_unit"]
+    if not last:
+        return near.limit(0).drop("_unit", "_by")
+    within = F.lit(False)
+    for value, end in last.items():
+        within = within | (F.col("_by").eqNullSafe(F.lit(value)) & (F.col("_unit") <= F.lit(end)))
+    if left_out:
+        within = within & ~F.col("_unit").isin(left_out)
+    return near.filter(within).drop("_unit", "_by")
 
 
 def least_count(counts: DataFrame, column: str, rows: int) -> int:
