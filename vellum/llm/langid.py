@@ -5,12 +5,13 @@ falls back to its character 4-grams, and where none of them is known to 3-grams,
 and single characters; the known n-grams of the first length that has any add their mean
 log frequency. The sums' softmax gives the language and its score.
 
-The model is learned from a bounded sample of labelled texts, ``sample_rows`` for each
-language, with at most ``max_words`` words and ``max_grams`` n-grams of each length.
+The model is learned from a bounded sample of labelled texts, ``sample_rows`` rows and
+``sample_bytes`` bytes for each language, and keeps every word and n-gram of it.
 
 Defined cases: a null text, one without letters, and any text when nothing was learned,
-gives ``und`` with score 0; rows without a label are never learned from; repeated rows
-are predicted each; an empty table gives no rows; other columns are ignored.
+gives ``und`` with score 0; rows without a label are never learned from; rows without an
+id are sampled by their texts; repeated rows are predicted each; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_sample, least_count, pinned, slices
+from .common import bounded_sample, slices
 
+#: Labelled texts, and their bytes, that are learned from for each language.
 SAMPLE_ROWS = 1_500
-MAX_WORDS = 60_000
-MAX_GRAMS = 20_000
+SAMPLE_BYTES = 4_000_000
 GRAM = 4
 SEED = 17
 UNKNOWN = "und"
@@ -37,8 +38,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower())
+    """Runs of letters, in lower case; numerals such as a half or a Roman twelve are none."""
+    words = _WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for found in words for w in "".join(c if c.isalpha() else " " for c in found).split()]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -59,6 +63,21 @@ class Model:
             c = np.array(list(units.values()), dtype=np.float64).reshape(len(units), len(langs))
             self.tables[n] = np.log((c + 0.5) / (c.sum(0) + 0.5 * (len(units) + 1)))
 
+    @classmethod
+    def of(cls, words: list[str], langs: list[str], numbers: list[int]) -> Model:
+        """From counts of words by language; n-grams count as often as their words."""
+        names = sorted(set(langs))
+        place = {lang: i for i, lang in enumerate(names)}
+        counts: dict[int, dict[str, list[int]]] = {k: {} for k in range(GRAM + 1)}
+        for word, lang, n in zip(words, langs, numbers):
+            at = place[lang]
+            counts[0].setdefault(word, [0] * len(names))[at] += n
+            for k in range(1, GRAM + 1):
+                held = counts[k]
+                for g in grams_of(word, k):
+                    held.setdefault(g, [0] * len(names))[at] += n
+        return cls(names, counts)
+
     def unseen(self, words: list[str]) -> np.ndarray:
         """Backed-off log scores of words that the model does not know."""
         out = np.zeros((len(words), len(self.langs)))
@@ -114,36 +133,22 @@ def learn(
     text_col: str = "text",
     lang_col: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
-    max_words: int = MAX_WORDS,
-    max_grams: int = MAX_GRAMS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Model:
-    """Count units per language on the executors and keep the most frequent ones.
-
-    Only the kept counts, whose number is bounded, reach the driver.
-    """
+    """Count units per language on the executors; the counts, as bounded as the sample, reach the driver."""
     usable = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
-    sample = fraction_sample(usable, "id", sample_rows, SEED, by="lang").select("lang", "text")
+    sample = bounded_sample(usable, ["id", "text"], sample_rows, sample_bytes, SEED, text="text", by="lang").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, Counter] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(lang, 0, w, n) for lang, c in kept.items() for w, n in c.items()]
-            for lang, c in kept.items():
-                for k in range(1, GRAM + 1):
-                    grams: Counter = Counter()
-                    for w, n in c.items():
-                        for g in grams_of(w, k):
-                            grams[g] += n
-                    rows += [(lang, k, g, n) for g, n in grams.items()]
-            cols = list(zip(*rows)) or [(), (), (), ()]
+            rows = [(lang, w, n) for lang, c in kept.items() for w, n in c.items()]
+            cols = list(zip(*rows)) or [(), (), ()]
             kept.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())],
-                ["lang", "size", "unit", "n"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
 
         for batch in slices(batches, 256):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -152,20 +157,8 @@ def learn(
                 yield out()
         yield out()
 
-    counted = sample.mapInArrow(count, "lang string, size int, unit string, n bigint")
-    units = pinned(counted.groupBy("size", "unit", "lang").agg(F.sum("n").alias("n")))
-    langs = sorted(r["lang"] for r in units.select("lang").distinct().collect())
-    place = {lang: i for i, lang in enumerate(langs)}
-    counts: dict[int, dict[str, list[int]]] = {}
-    for k in range(GRAM + 1):
-        totals = units.filter(F.col("size") == k).groupBy("unit").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        totals = pinned(totals)
-        least = least_count(totals, "total", max_words if k == 0 else max_grams)
-        top = totals.filter(F.col("total") >= least).select("unit", F.explode("by").alias("b")).select("unit", "b.lang", "b.n").toArrow()
-        held = counts[k] = {}
-        for unit, lang, n in zip(top["unit"].to_pylist(), top["lang"].to_pylist(), top["n"].to_pylist()):
-            held.setdefault(unit, [0] * len(langs))[place[lang]] += n
-    return Model(langs, counts)
+    counted = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n")).toArrow()
+    return Model.of(counted["word"].to_pylist(), counted["lang"].to_pylist(), counted["n"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
