@@ -7,7 +7,7 @@ read a window of ``WINDOW`` words forwards and backwards, attention pools their
 to a logit, and a text scores the highest of all its overlapping windows.
 
 The network is trained in numpy on a bounded sample of labelled texts, ``sample_rows``
-of each class. A label holds for a text, not for its windows, so every round takes the
+rows and ``sample_bytes`` bytes of each class. A label holds for a text, not for its windows, so every round takes the
 highest-scoring window of each toxic text, and the highest and a random one of others.
 
 Defined cases: a null or wordless text is scored as one empty word; without labelled
@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_sample, lookup, slices
+from .common import bounded_sample, lookup, pinned, slices
 
+#: Labelled texts, and their bytes, that are learned from for each class.
 SAMPLE_ROWS = 2_000
+SAMPLE_BYTES = 16_000_000
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
 MAX_WORDS = 20_000
@@ -348,12 +350,15 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED, rounds:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES
+) -> Model:
     """Train on a bounded sample of the documents that ``labels`` marks 0 or 1."""
-    marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter(F.col("label").isin(0, 1))
-    sample = fraction_sample(marked, "id", sample_rows, SEED, by="label")
+    marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    sample = bounded_sample(marked.distinct(), ["id"], sample_rows, 0, SEED, by="label")
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = texts.join(lookup(sample), "id").orderBy("id", "label", "text").select("text", "label").toArrow()
+    held = pinned(texts.join(lookup(sample), "id"))
+    rows = bounded_sample(held, ["id", "text"], sample_rows, sample_bytes, SEED, text="text", by="label").orderBy("id", "label", "text").select("text", "label").toArrow()
     return train(rows["text"].to_pylist(), rows["label"].to_numpy().astype(np.int64))
 
 
