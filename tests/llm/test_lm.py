@@ -52,7 +52,7 @@ def small_model():
         if w:
             rest[lm.rest_class(w)] += n + 1
     model = lm.Model(sum(hot.values()), len(hot), hot, rest)
-    model.fit([b"a b a b", b"c a", b"", b"b a d"] * 5, passes=1)
+    model.fit([b"a b a b", b"c a", b"", b"b a d"] * 5, passes=2)
     return model
 
 
@@ -92,7 +92,7 @@ def test_gradients():
         net.p[k] = net.p[k].astype(np.float64)
     rng = np.random.default_rng(1)
     source, target = rng.integers(0, 5, (6, 3)), rng.integers(0, 8, (6, 3))
-    fresh, live, state = rng.random((6, 3)) < 0.3, np.ones((6, 3)), rng.normal(0, 1, (3, lm.HIDDEN))
+    fresh, live, state = rng.random((6, 3)) < 0.3, np.ones((6, 3)), rng.normal(0, 1, (lm.HIDDEN, 3))
     loss = lambda: net.step(source, target, fresh, live, state)[0]
     _, g, _ = net.step(source, target, fresh, live, state)
     for k, p in net.p.items():

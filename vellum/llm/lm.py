@@ -7,39 +7,51 @@ class, state), or, in a rest class, the word's add-one share of the class by the
 of the whole training corpus, with one share for unseen words. So a document's score is
 a proper probability over the same events as the add-one unigram base.
 
-Training is truncated backpropagation in numpy on a bounded sample of ``sample_rows``
-documents. Token counts cover the whole training corpus. In scoring, the state is carried
-from window to window through the complete document.
+Training is truncated backpropagation in numpy over all training documents. The driver
+warms a network up on a bounded sample; then, ``ROUNDS`` times, every partition trains a
+copy on its documents of that round and the copies' parameters are averaged, weighted by
+tokens, so the work grows with the corpus and the driver sees one network a round. Token
+counts cover the whole training corpus. In scoring, the state is carried from window to
+window through the complete document.
 
 Word counts are too many for one machine: frequent words, of bounded number, travel to
 the workers with the model, all others are looked up by a shuffled join.
 
 Defined cases: a null text counts as empty and is its end mark alone; without training
-documents every count is zero; repeated rows are scored each; an empty table gives no
-rows; other columns are ignored.
+documents every count is zero; rows without an id are dealt to rounds by their texts;
+repeated rows are scored each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, fraction_sample, least_count, lower_words, shared_path, slices
+from .common import bounded_sample, bytes_of, least_count, lower_words, shared_path, slices
 
 VOCAB = 4095
 CLASS_SIZE = 64
 RESTS = 64
 HEAD = 3
-HOT_WORDS = 131_072
-SAMPLE_ROWS = 1_500
+HOT_WORDS = 524_288
+#: Documents, and their bytes, that the driver warms the network up on.
+WARM_ROWS, WARM_BYTES = 1_000, 4_000_000
 HIDDEN, EMBED = 16, 16
-STREAMS, STEPS, PASSES, RATE = 48, 32, 2, 0.01
+STREAMS, STEPS, PASSES, RATE = 48, 32, 1, 0.01
+#: Passes over the partitions, each with its own part of the documents, and their learning rate.
+ROUNDS, ROUND_RATE = 2, 0.003
+#: Streams, and documents that are dealt to them at a time, of a partition.
+ROUND_STREAMS, ROUND_DOCS = 256, 1024
+#: Parameters that travel in one row.
+CHUNK = 4096
 SEED = 37
 #: The end mark as a counted token; no word is empty.
 END = b""
@@ -50,15 +62,6 @@ def rest_class(word: bytes) -> int:
     return zlib.crc32(word[:HEAD]) % RESTS
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
 class Network:
     """One gated recurrent layer with class-factored outputs.
 
@@ -93,60 +96,89 @@ class Network:
         return np.where(symbol < self.size, symbol // CLASS_SIZE, self.classes + symbol - self.size)
 
     def step(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Mean loss, gradients and last state over (steps, streams); ``fresh`` resets a stream's state."""
+        """Mean loss, gradients and last state over (steps, streams); ``fresh`` resets a stream's state.
+
+        States are columns: (hidden, streams).
+        """
         p, h = self.p, HIDDEN
         t, b = inputs.shape
-        x = p["in"][inputs]
-        proj = x @ p["wx"] + p["bx"]
-        states, log = np.zeros((t, b, h), np.float32), []
+        kind = p["wh"].dtype
+        x = p["in"][inputs.ravel()]
+        proj = np.ascontiguousarray((x @ p["wx"] + p["bx"]).reshape(t, b, 3 * h).transpose(0, 2, 1))
+        turn, keep = np.ascontiguousarray(p["wh"].T), (~fresh).astype(kind)
+        before, states = np.empty((t, h, b), kind), np.empty((t, h, b), kind)
+        q3, gates, new = np.empty((t, h, b), kind), np.empty((t, 2 * h, b), kind), np.empty((t, h, b), kind)
         for k in range(t):
-            before = state * ~fresh[k][:, None]
-            q = before @ p["wh"]
-            gates = _sigmoid(proj[k, :, : 2 * h] + q[:, : 2 * h])
-            r, z = gates[:, :h], gates[:, h:]
-            n = np.tanh(proj[k, :, 2 * h :] + r * q[:, 2 * h :])
-            log.append((before, r, z, n, q[:, 2 * h :]))
-            state = states[k] = (1 - z) * n + z * before
-        flat, want, weight = states.reshape(-1, h), targets.ravel(), live.ravel() / max(live.sum(), 1)
-        cls = self.class_of(want)
-        logc = _log_softmax(flat @ p["oc"] + p["bc"])
-        loss = -(logc[np.arange(len(cls)), cls] * weight).sum()
-        dc = np.exp(logc)
-        dc[np.arange(len(cls)), cls] -= 1
-        dc *= weight[:, None]
-        dc = dc.astype(np.float32)
-        g = {"oc": flat.T @ dc, "bc": dc.sum(0), "ow": np.zeros_like(p["ow"]), "bw": np.zeros_like(p["bw"])}
+            np.multiply(state, keep[k], out=before[k])
+            q = turn @ before[k]
+            g = np.add(proj[k, : 2 * h], q[: 2 * h], out=gates[k])
+            np.negative(g, out=g)
+            np.minimum(g, 30, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            q3[k] = q[2 * h :]
+            n = np.multiply(g[:h], q3[k], out=new[k])
+            n += proj[k, 2 * h :]
+            np.tanh(n, out=n)
+            state = np.subtract(before[k], n, out=states[k])
+            state *= g[h:]
+            state += n
+        r, z = gates[:, :h], gates[:, h:]
+        flat, want = states.transpose(0, 2, 1).reshape(-1, h), targets.ravel()
+        weight = (live.ravel() / max(live.sum(), 1)).astype(kind)
+        cls, every = self.class_of(want), np.arange(len(want))
+        dc = flat @ p["oc"]
+        dc += p["bc"]
+        dc -= dc.max(1, keepdims=True)
+        own = dc[every, cls]
+        np.exp(dc, out=dc)
+        total = dc.sum(1)
+        loss = ((np.log(total) - own) * weight).sum()
+        dc *= (weight / total)[:, None]
+        dc[every, cls] -= weight
+        grad = {"oc": flat.T @ dc, "bc": dc.sum(0), "ow": np.zeros_like(p["ow"]), "bw": np.zeros_like(p["bw"])}
         d_flat = dc @ p["oc"].T
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
+        for c in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                logw = _log_softmax(flat[rows] @ p["ow"][c] + p["bw"][c])
-                place = want[rows] - c * CLASS_SIZE
-                loss -= (logw[np.arange(len(rows)), place] * weight[rows]).sum()
-                dw = np.exp(logw)
-                dw[np.arange(len(rows)), place] -= 1
-                dw = (dw * weight[rows][:, None]).astype(np.float32)
-                g["ow"][c], g["bw"][c] = flat[rows].T @ dw, dw.sum(0)
-                d_flat[rows] += dw @ p["ow"][c].T
-        d_states, d_proj, d_state = d_flat.reshape(t, b, h), np.zeros_like(proj), np.zeros((b, h), np.float32)
-        g["wh"] = np.zeros_like(p["wh"])
+            at, part, share = every[: len(rows)], flat[rows], weight[rows]
+            place = want[rows] - c * CLASS_SIZE
+            dw = part @ p["ow"][c]
+            dw += p["bw"][c]
+            dw -= dw.max(1, keepdims=True)
+            own = dw[at, place]
+            np.exp(dw, out=dw)
+            total = dw.sum(1)
+            loss += ((np.log(total) - own) * share).sum()
+            dw *= (share / total)[:, None]
+            dw[at, place] -= share
+            grad["ow"][c], grad["bw"][c] = part.T @ dw, dw.sum(0)
+            d_flat[rows] += dw @ p["ow"][c].T
+        d_states = np.ascontiguousarray(d_flat.reshape(t, b, h).transpose(0, 2, 1))
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), q3 * r * (1 - r)
+        dq, d_new, d_state = np.empty((t, 3 * h, b), kind), np.empty((t, h, b), kind), np.zeros((h, b), kind)
         for k in range(t - 1, -1, -1):
-            before, r, z, n, q3 = log[k]
-            d_state = d_state + d_states[k]
-            dn = d_state * (1 - z) * (1 - n * n)
-            dz = d_state * (before - n) * z * (1 - z)
-            dr = dn * q3 * r * (1 - r)
-            dq = np.concatenate([dr, dz, dn * r], axis=1)
-            d_proj[k] = np.concatenate([dr, dz, dn], axis=1)
-            g["wh"] += before.T @ dq
-            d_state = (d_state * z + dq @ p["wh"].T) * ~fresh[k][:, None]
-        dp = d_proj.reshape(-1, 3 * h)
-        g["wx"], g["bx"] = x.reshape(-1, EMBED).T @ dp, dp.sum(0)
-        g["in"] = np.zeros_like(p["in"])
-        np.add.at(g["in"], inputs.ravel(), dp @ p["wx"].T)
-        return float(loss), g, state
+            d_state += d_states[k]
+            dn = np.multiply(d_state, to_new[k], out=d_new[k])
+            np.multiply(dn, to_r[k], out=dq[k, :h])
+            np.multiply(d_state, to_z[k], out=dq[k, h : 2 * h])
+            np.multiply(dn, r[k], out=dq[k, 2 * h :])
+            d_state *= z[k]
+            d_state += p["wh"] @ dq[k]
+            d_state *= keep[k]
+        rows = lambda a: np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(t * b, -1)
+        grad["wh"] = rows(before).T @ rows(dq)
+        dq[:, 2 * h :] = d_new
+        dp = rows(dq)
+        grad["wx"], grad["bx"] = x.T @ dp, dp.sum(0)
+        # Gradients of equal inputs are summed by sorting, which beats adding them one by one.
+        d_in = (dp @ p["wx"].T)[order_in := np.argsort(inputs.ravel(), kind="stable")]
+        used, first = np.unique(inputs.ravel()[order_in], return_index=True)
+        grad["in"] = np.zeros_like(p["in"])
+        grad["in"][used] = np.add.reduceat(d_in, first, axis=0)
+        return float(loss), grad, state
 
     def log_probs(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log P(class) + log P(word | class), the latter for words only."""
@@ -222,6 +254,49 @@ class Network:
         return out
 
 
+class Trainer:
+    """Truncated backpropagation with adaptive steps, whose moments go on from run to run.
+
+    A line may begin inside a document; its state is empty there and is carried on from then.
+    """
+
+    def __init__(self, network: Network) -> None:
+        self.net, self.turn, self.tokens = network, 0, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
+
+    def run(self, docs: list[list[int]], end: int, streams: int, rate) -> None:
+        """One pass over documents (symbols, the last is the end mark), laid out as lines of equal length; ``rate`` of the share done."""
+        flat = np.array([s for doc in docs for s in doc], dtype=np.int64)
+        streams = max(1, min(streams, len(flat) // STEPS))
+        length = -(-len(flat) // streams)
+        lines = lambda x: np.pad(x, (0, length * streams - len(flat)), constant_values=end).reshape(streams, length).T
+        target, source = lines(flat), lines(np.concatenate([[end], flat[:-1]]))
+        live = np.arange(length * streams).reshape(streams, length).T < len(flat)
+        fresh, live = source == end, live.astype(np.float32)
+        state = np.zeros((HIDDEN, streams), np.float32)
+        for a in range(0, length, STEPS):
+            part = slice(a, a + STEPS)
+            _, g, state = self.net.step(source[part], target[part], fresh[part], live[part], state)
+            self.turn += 1
+            step = rate(a / length)
+            fix1, fix2 = step / (1 - 0.9**self.turn), 1 / (1 - 0.999**self.turn)
+            for k, v in self.net.p.items():
+                m1, m2 = self.moments[k]
+                d = g[k]
+                m1 += 0.1 * (d - m1)
+                d *= d
+                d -= m2
+                d *= 0.001
+                m2 += d
+                np.multiply(m2, fix2, out=d)
+                np.sqrt(d, out=d)
+                d += 1e-7
+                np.divide(m1, d, out=d)
+                d *= fix1
+                v -= d
+        self.tokens += len(flat)
+
+
 class Model:
     """Network, corpus totals and the frequent words with their counts."""
 
@@ -248,56 +323,32 @@ class Model:
         self.network: Network | None = None
 
     def symbols(self, words: list[bytes]) -> list[int]:
-        size = len(self.symbol)
-        return [self.symbol[w] if w in self.symbol else size + rest_class(w) for w in words] + [self.end]
+        size, known = len(self.symbol), self.symbol
+        return [known[w] if w in known else size + rest_class(w) for w in words] + [self.end]
 
     def fit(self, texts: list[bytes], seed: int = SEED, passes: int = PASSES) -> None:
-        """Truncated backpropagation over streams of whole documents."""
+        """A new network, warmed up on whole documents."""
         rng = np.random.default_rng(seed)
-        net = self.network = Network(self.vocab_counts, self.rest_share, rng)
+        self.network = Network(self.vocab_counts, self.rest_share, rng)
+        trainer = Trainer(self.network)
         docs = [self.symbols(lower_words(t)) for t in texts]
-        if not docs:
-            return
-        moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-        streams = min(STREAMS, len(docs))
-        turn = 0
-        for lap in range(passes):
-            lines: list[list[int]] = [[] for _ in range(streams)]
-            for i in rng.permutation(len(docs)):
-                min(lines, key=len).extend(docs[i])
-            length = max(map(len, lines))
-            target = np.full((length, streams), self.end, dtype=np.int64)
-            live = np.zeros((length, streams), dtype=np.float32)
-            for j, line in enumerate(lines):
-                target[: len(line), j], live[: len(line), j] = line, 1
-            source = np.concatenate([np.full((1, streams), self.end), target[:-1]])
-            fresh = source == self.end
-            state = np.zeros((streams, HIDDEN), np.float32)
-            for a in range(0, length, STEPS):
-                part = slice(a, a + STEPS)
-                _, g, state = net.step(source[part], target[part], fresh[part], live[part], state)
-                turn += 1
-                rate = RATE * (1 - 0.9 * (lap + a / length) / passes)
-                for k, v in net.p.items():
-                    m1, m2 = moments[k]
-                    m1 += 0.1 * (g[k] - m1)
-                    m2 += 0.001 * (g[k] * g[k] - m2)
-                    v -= (rate * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.999**turn)) + 1e-7)).astype(np.float32)
-
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """n_tokens, n_known, base and score of each text but for its rare words, and those with their text.
+        for lap in range(passes if docs else 0):
+            trainer.run([docs[i] for i in rng.permutation(len(docs))], self.end, STREAMS, lambda done: RATE * (1 - 0.9 * (lap + done) / passes))
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter]]:
+        """n_tokens, n_known, base and score of each text but for its rare words, and those counted.
 
         Each rare word still adds log10(count + 1) to base and score, and 1 to n_known if its count is positive.
         """
         find = self.hot.get
         rare: list[bytes] = []
-        rare_of, places, size = [], [], []
-        for i, text in enumerate(texts):
+        counted, places, size = [], [], []
+        for text in texts:
             words = lower_words(text)
             found = [find(w, -1) for w in words]
             missed = [w for w, f in zip(words, found) if f < 0]
             rare += missed
-            rare_of.append(len(missed))
+            counted.append(Counter(missed))
             places += found
             places.append(-2)
             size.append(len(words) + 1)
@@ -317,7 +368,7 @@ class Model:
         base = (np.add.reduceat(log, start) - count * np.log10(self.tokens + self.types + 1)) if len(texts) else np.zeros(0)
         share = np.where(flat >= vocab, log - np.log10(self.rest_share)[np.maximum(flat - vocab, 0)], 0.0)
         score = (np.add.reduceat(share, start) + self.network.score(flat, start, count, self.end) / LOG10) if len(texts) else np.zeros(0)
-        return count, known, base, score, rare, np.repeat(np.arange(len(texts)), rare_of)
+        return count, known, base, score, counted
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", held: int = 200_000) -> DataFrame:
@@ -347,7 +398,76 @@ def count_tokens(docs: DataFrame, text_col: str = "text", held: int = 200_000) -
     return docs.select(docs[text_col].alias("text")).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS, sample_rows: int = SAMPLE_ROWS) -> tuple[Model, DataFrame]:
+def _flat(network: Network) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in network.p.values()])
+
+
+def _fill(network: Network, values: np.ndarray) -> None:
+    at = 0
+    for k, v in network.p.items():
+        network.p[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
+        at += v.size
+
+
+_CHUNKS = "chunk int, slot int, weight double, held binary"
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """One row of the weighted mean of the rows' chunks."""
+    weight = table["weight"].to_numpy()
+    held = np.stack([np.frombuffer(v, np.float32) for v in table["held"].to_pylist()]).astype(np.float64)
+    mean = (held * weight[:, None]).sum(0) / weight.sum()
+    return pa.table(
+        {
+            "chunk": pa.array([table["chunk"][0].as_py()], pa.int32()),
+            "slot": pa.array([0], pa.int32()),
+            "weight": pa.array([weight.sum()]),
+            "held": pa.array([mean.astype(np.float32).tobytes()], pa.binary()),
+        }
+    )
+
+
+def train_round(docs: DataFrame, model: Model) -> bool:
+    """Train a copy of the network on every partition of ``docs`` (text) and average them into the model's.
+
+    Parameters meet in chunks, first within ``slot``, so that no task holds many of them.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model.symbol, model.end, model.network))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, end, network = sent.value
+        size, mine = len(symbol), copy.deepcopy(network)
+        trainer, held = Trainer(mine), []
+
+        def run(least: int) -> None:
+            if len(held) >= least:
+                trainer.run(held, end, ROUND_STREAMS, lambda _: ROUND_RATE)
+                held.clear()
+
+        for batch in slices(batches, ROUND_DOCS):
+            for text in bytes_of(batch.column(0)).to_pylist():
+                held.append([symbol[w] if w in symbol else size + rest_class(w) for w in lower_words(text)] + [end])
+            run(ROUND_DOCS)
+        run(1)
+        if trainer.tokens:
+            values = _flat(mine).astype(np.float32)
+            chunks = [values[a : a + CHUNK].tobytes() for a in range(0, len(values), CHUNK)]
+            n, slot = len(chunks), TaskContext.get().partitionId() % 64
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(n), pa.int32()), pa.array([slot] * n, pa.int32()), pa.array([float(trainer.tokens)] * n), pa.array(chunks, pa.binary())],
+                ["chunk", "slot", "weight", "held"],
+            )
+
+    copies = docs.mapInArrow(train, _CHUNKS)
+    met = copies.groupBy("chunk", "slot").applyInArrow(_mean, _CHUNKS).groupBy("chunk").applyInArrow(_mean, _CHUNKS).orderBy("chunk").toArrow()
+    if met.num_rows:
+        _fill(model.network, np.concatenate([np.frombuffer(v, np.float32) for v in met["held"].to_pylist()]))
+    return bool(met.num_rows)
+
+
+def learn(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS, warm_rows: int = WARM_ROWS, warm_bytes: int = WARM_BYTES, rounds: int = ROUNDS
+) -> tuple[Model, DataFrame]:
     """A model of the documents, and the table of all their token counts.
 
     The frequent words are those above the least count that fewer than ``hot_words``
@@ -370,16 +490,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_w
     hot = dict(zip(table["token"].cast(pa.binary()).to_pylist(), table["n"].to_pylist()))
     model = Model(tokens, types, hot, rest_total)
     usable = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    sample = fraction_sample(usable, "id", sample_rows, SEED).orderBy("id", "text").select("text").toArrow()
+    sample = bounded_sample(usable, ["id", "text"], warm_rows, warm_bytes, SEED, text="text").orderBy("id", "text").select("text").toArrow()
     model.fit([t.encode() for t in sample["text"].to_pylist()])
+    turn = F.pmod(F.xxhash64(F.lit(SEED + 1), "id", "text"), F.lit(rounds))
+    for r in range(rounds):
+        train_round(usable.filter(turn == r).select("text"), model)
     return model, counts
 
 
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row.
 
-    Rare words leave the workers one by one with their row's number; the row's own sums
-    travel with them under a key that no word has, so the texts are read once.
+    A rare word leaves a worker once for all rows of a slice, with the place in it and the
+    number of times of each; the rows' own sums travel with them under keys that no word
+    has, so the texts are read once.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -387,26 +511,38 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, id_col: st
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             row = batch.column(0).to_numpy()
-            count, known, base, value, rare, of = sent.value.score(bytes_of(batch.column(2)).to_pylist())
+            count, known, base, value, counted = sent.value.score(bytes_of(batch.column(2)).to_pylist())
             own = pa.StructArray.from_arrays(
                 [batch.column(1), pa.array(count), pa.array(known), pa.array(base), pa.array(value)], ["id", "n_tokens", "n_known", "base", "score"]
             )
-            yield pa.RecordBatch.from_arrays([pa.array([f" {r}" for r in row], pa.string()), batch.column(0), own], ["token", "row", "own"])
-            for a in range(0, len(rare), 100_000):
-                part = rare[a : a + 100_000]
+            n = len(row)
+            single = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32)))
+            none = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.zeros(n, np.int32)))
+            first = pa.array(np.full(n, row[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([f" {r}" for r in row], pa.string()), first, single, none, own], ["token", "first", "places", "times", "own"])
+            met: dict[bytes, tuple[list[int], list[int]]] = {}
+            for i, words in enumerate(counted):
+                for w, k in words.items():
+                    places, times = met.setdefault(w, ([], []))
+                    places.append(i)
+                    times.append(k)
+            words = list(met)
+            for a in range(0, len(words), 100_000):
+                part = words[a : a + 100_000]
+                lists = [pa.array([met[w][j] for w in part], pa.list_(pa.int32())) for j in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.binary()).cast(pa.string()), pa.array(row[of[a : a + 100_000]]), pa.nulls(len(part), own.type)], ["token", "row", "own"]
+                    [pa.array(part, pa.binary()).cast(pa.string()), pa.array(np.full(len(part), row[0])), *lists, pa.nulls(len(part), own.type)], ["token", "first", "places", "times", "own"]
                 )
 
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        score, f"token string, row bigint, own struct<id {id_type}, n_tokens bigint, n_known bigint, base double, score double>"
-    )
-    met = parts.join(counts, "token", "left")
-    more = F.coalesce(F.sum(F.log10(F.col("n") + 1)), F.lit(0.0))
-    sums = met.groupBy("row").agg(
+    shape = f"token string, first bigint, places array<int>, times array<int>, own struct<id {id_type}, n_tokens bigint, n_known bigint, base double, score double>"
+    parts = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(score, shape)
+    # Rows of a slice follow each other, so a row's number is the first one's plus its place.
+    met = parts.join(counts, "token", "left").select("own", "first", "n", F.explode(F.arrays_zip("places", "times")).alias("at"))
+    more = F.coalesce(F.sum(F.col("at.times") * F.log10(F.col("n") + 1)), F.lit(0.0))
+    sums = met.groupBy((F.col("first") + F.col("at.places")).alias("row")).agg(
         F.max("own.id").alias("id"),
         F.sum("own.n_tokens").alias("n_tokens"),
-        (F.sum("own.n_known") + F.count("n")).alias("n_known"),
+        (F.sum("own.n_known") + F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("at.times"))), F.lit(0))).alias("n_known"),
         (F.sum("own.base") + more).alias("base_score"),
         (F.sum("own.score") + more).alias("score"),
     )
