@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.llm import decontam, nearcopies, packing, secrets, toxicity
 from vellum.llm.common import shared_path, text_fold
 
-#: Fingerprints of the near-copy stage before it verified shingles; its results are compared with them.
-FINGERPRINTS = 4
 #: Documents from this toxicity score on go.
 TOXIC = 0.5
 

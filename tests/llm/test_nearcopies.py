@@ -46,7 +46,7 @@ def _texts():
     return out
 
 
-@pytest.mark.parametrize("pair_rows", [32, 1])
+@pytest.mark.parametrize("pair_rows", [16, 1])
 def test_stage_keeps_what_brute_force_keeps(spark, pair_rows):
     rows = list(enumerate(_texts()))
     docs = spark.createDataFrame([(i, t, "more") for i, t in rows], "doc_id long, text string, cell string").repartition(3)
@@ -55,29 +55,41 @@ def test_stage_keeps_what_brute_force_keeps(spark, pair_rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in brute_kept(rows)]
 
 
-def test_pairs_from_the_threshold_on_share_a_key():
-    rng = np.random.default_rng(4)
-    for common in range(160, 201, 4):
-        words = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
-        extra = (200 - common) // 2
-        a, b = np.unique(words[: common + extra]), np.unique(np.concatenate([words[:common], words[200 : 200 + 200 - common - extra]]))
-        assert nearcopies.similar(common, len(a), len(b))
-        left, right = nearcopies.band_keys([a, b])
-        assert (left == right).any()
-
-
-def test_pipeline_stage_links_what_fingerprints_miss(spark):
-    """Pairs of 0.8 to 0.9: all go, few of them by fingerprints."""
-    rng, rows = np.random.default_rng(12), []
-    for k in range(30):
-        words = [f"w{n}" for n in rng.integers(0, 9000, 150)]
+def test_near_copies_share_a_key():
+    """Pairs from the threshold on: words replaced anywhere, or a block put in."""
+    rng, texts = np.random.default_rng(4), []
+    for k in range(400):
+        words = [f"w{n}" for n in rng.integers(0, 9000, int(rng.integers(80, 400)))]
         copy = list(words)
-        copy[40], copy[90] = "x", "y"
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    fps = simhash.fingerprints([t.encode() for _, t in rows], variants=corpus_pipeline.FINGERPRINTS)
-    assert (np.bitwise_count(fps[:, ::2] ^ fps[:, 1::2]) <= 3).any(0).sum() < 30
-    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == list(range(0, 60, 2))
+        if k % 4:
+            for at in rng.integers(0, len(copy), len(copy) // 50):
+                copy[at] = f"x{at}"
+        else:
+            copy[len(copy) // 2 : len(copy) // 2] = [f"y{n}" for n in range(len(copy) // 10)]
+        texts += [" ".join(words).encode(), " ".join(copy).encode()]
+    held = nearcopies._split(nearcopies.shingle_sets(texts, 5))
+    fps = nearcopies.set_fingerprints(nearcopies.shingle_sets(texts, nearcopies.FEATURE))
+    place, mark = nearcopies.key_marks(fps, np.array([len(s) for s in held]), simhash.Golay())
+    by = [mark[place == k] for k in range(len(texts))]
+    due = met = 0
+    for a in range(0, len(texts), 2):
+        s, t = held[a], held[a + 1]
+        if nearcopies.similar(len(np.intersect1d(s, t)), len(s), len(t)):
+            due += 1
+            both = (by[a][:, None] >> 31 == by[a + 1][None, :] >> 31) & nearcopies.candidates(by[a][:, None], by[a + 1][None, :])
+            met += both.any()
+    assert due > 200 and met >= 0.97 * due
+
+
+def test_shingle_sets_match_brute_force():
+    texts = [t.encode() if t else b"" for t in _texts()]
+    for size in (2, 5):
+        sets = nearcopies._split(nearcopies.shingle_sets(texts, size))
+        words = [t.lower().split() for t in texts]
+        want = [{tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set() for w in words]
+        assert [len(s) for s in sets] == [len(w) for w in want] and all((np.diff(s.astype(object)) > 0).all() for s in sets)
+        for a, b in [(6, 7), (8, 9), (10, 14), (3, 4)]:
+            assert len(np.intersect1d(sets[a], sets[b])) == len(want[a] & want[b])
 
 
 def test_forest_spans_a_bucket():
@@ -90,15 +102,23 @@ def test_empty_table(spark):
 
 
 def test_pipeline_stage_keeps_texts_that_only_fingerprints_link(spark):
-    """Repeated lines make up both fingerprints; of the shingles, few are shared."""
+    """Repeated lines make up all fingerprints; of the shingles, few are shared."""
     lines = "same line again " * 150
     rows = [(k, lines + " ".join(f"{k}u{n}" for n in range(20))) for k in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    fps = simhash.fingerprints([t.encode() for _, t in rows], variants=corpus_pipeline.FINGERPRINTS)
-    assert (np.bitwise_count(fps[:, :1] ^ fps) <= 3).any(0).all() and len(brute_kept(rows)) == 4
+    fps = simhash.fingerprints([t.encode() for _, t in rows])
+    assert (np.bitwise_count(fps[:1] ^ fps) <= 3).all() and len(brute_kept(rows)) == 4
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == [0, 1, 2, 3]
 
 
+def test_columns_of_any_name_are_carried_along(spark):
+    names = ["_keep", "_kept", "_times", "_again", "_n", "_node", "node", "root", "size", "fps", "id", "key", "a", "b", "_id"]
+    rows = [(3, "A b c d e f", *names), (1, "a b c d e f", *names), (3, "g h i j k l", *names), (None, "m", *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = corpus_pipeline.drop_copies(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["text"][0] != "A")
+
+
 def test_rows_that_repeat_an_id_stay_with_their_own_texts(spark):
     rows = [(1, "a b c d e f"), (3, "A b c d e f"), (3, "g h i j k l"), (3, "g h i j k l"), (3, "m n o p q r"), (7, "G h i j k l")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -3,7 +3,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 
-from vellum.llm import simhash
+from vellum.llm import components, simhash
 
 
 def brute_fingerprint(text):
@@ -60,7 +60,7 @@ def test_keys_meet_for_all_close_fingerprints():
 
 def test_fingerprints_match_the_definition():
     texts = [b"", b"one", b"One  two", b"a b c", b"a\x0bb c d e f g A b", b"x y z " * 40, "é É ß ü".encode()]
-    assert simhash.fingerprints(texts, variants=2)[0].tolist() == [brute_fingerprint(t.decode()) for t in texts]
+    assert simhash.fingerprints(texts).tolist() == [brute_fingerprint(t.decode()) for t in texts]
 
 
 def _texts():
@@ -93,24 +93,37 @@ def test_oversized_buckets_go_the_exact_way(spark):
     _check(spark, 2)
 
 
-def test_variants_match_brute_force(spark):
-    texts = [t for t in _texts() if t and len(t.split()) > 2]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    fps = simhash.fingerprints([t.encode() for t in texts], variants=3)
-    root = list(range(len(texts)))
-    for _ in texts:
-        for i, j in combinations(range(len(texts)), 2):
-            if (np.bitwise_count(fps[:, i] ^ fps[:, j]) <= 3).any():
-                root[i] = root[j] = min(root[i], root[j])
-    got = {r["id"]: r["component"] for r in simhash.near_duplicates(docs, variants=3).collect()}
-    assert got == dict(enumerate(root))
-
-
-def test_one_row_of_each_group_stays(spark):
-    docs = spark.createDataFrame([(5, "a b c d", 1), (3, "A b c d", 2), (3, "a b c d", 2), (9, "q r s t u v", 3), (None, "a b c d", 4)], "doc_id long, text string, component int")
-    kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 9, None]
+def test_links_are_at_most_one_a_row_and_bucket(spark):
+    """A large group of near copies: links in proportion to fingerprints, not to pairs."""
+    rng = np.random.default_rng(14)
+    middle = rng.integers(0, 1 << 63, dtype=np.uint64)
+    fps = np.unique([middle ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 2, replace=False))) for _ in range(900)])
+    marks = spark.createDataFrame([(int(f.astype(np.int64)), k) for k, f in enumerate(fps)], "fp long, node long")
+    links = simhash.fingerprint_links(marks).distinct().count()
+    assert len(fps) - 1 <= links <= 12 * len(fps)
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    rng = np.random.default_rng(2)
+    name = rng.permutation(4000).tolist()
+    edges = [(k, k + 1) for k in range(300)] + [(name[1000 + k], name[1001 + k]) for k in range(300) if k != 150]
+    edges += [(name[2000], name[2001 + k]) for k in range(200)] + [(5000 + k, 5000 + (k + 1) % 50) for k in range(50)] + [(9000, 9000)]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(400):
+        for x, y in edges:
+            if x != y:
+                root[x] = root[y] = min(root[x], root[y])
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == root
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_majority_matches_counting():
+    rng = np.random.default_rng(7)
+    counts = np.array([0, 1, 2, 63, 64, 65, 500, 0, 3])
+    flat = rng.integers(0, 1 << 64, counts.sum(), dtype=np.uint64)
+    parts = np.split(flat, np.cumsum(counts)[:-1])
+    assert simhash.majority(flat, counts).tolist() == [sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in p) * 2 > len(p)) for p in parts]
 
 
 def test_empty_table(spark):

@@ -1,17 +1,20 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash: texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of ``BANDS`` keys, each of ``BAND_ROWS`` minima of independent hashes
-over the shingles; a pair of similarity s has none in common with probability
-(1 - s^BAND_ROWS)^BANDS, 5e-6 at 0.8 and less above. Every candidate is held against the
-sets themselves, so no link is below the threshold.
+Every text gets ``VARIANTS`` fingerprints of independent hashes over its distinct words,
+which a replaced word disturbs less than it does shingles, and the Golay keys of each (see
+simhash): an equal segment and a codeword index near the bits behind it. Texts that
+share any key meet in its bucket. Those whose remaining bits differ in ``REST_BITS`` at
+most, and whose set sizes allow the similarity, are candidates, and every candidate is
+held against the sets themselves, so no link is below the threshold.
 
-Texts of one set are one node. Buckets of up to ``PAIR_ROWS`` nodes give their pairs, which
-meet their sets by join; of larger buckets the sets travel with the keys, and the bucket
-gives a spanning forest of its verified links, not its pairs.
+Texts of one set are one node. Buckets of up to ``PAIR_ROWS`` nodes give their candidate
+pairs, which meet their sets by join; of larger buckets the sets travel with the keys, and
+the bucket gives a spanning forest of its verified links, not its pairs.
 
 Defined cases: a text of fewer than five words has all of them as its one shingle; null and
 wordless texts are copies of each other; rows without an id stay; rows that repeat an id are
-told apart by their sets; an empty table gives no rows; other columns are carried along.
+told apart by their sets; an empty table gives no rows; other columns are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,21 +28,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bytes_of, lookup, pinned, slices
+from .common import bytes_of, lookup, lower_words, pinned, slices
 from .components import connected_components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, Golay, bucket_keys, majority, remixed
 
-SHINGLE = 5
-BANDS, BAND_ROWS = 40, 6
+SHINGLE, FEATURE = 5, 1
+VARIANTS = 8
+#: Bits outside the key, of 24, in which candidates may differ.
+REST_BITS = 7
 #: Nodes of a bucket that meet pair by pair.
-PAIR_ROWS = 32
+PAIR_ROWS = 16
+#: Words whose hashes a worker holds.
+CODES = 1_000_000
 #: Least similarity of a link, as a fraction.
 LEAST = (4, 5)
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Distinct shingle hashes in ascending order."""
-    return np.unique(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64))
+class _Codes(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return code
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_sets(texts: list[bytes], size: int, codes: _Codes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all texts, ascending within each, and where each text's begin, with the end."""
+    codes = _Codes() if codes is None else codes
+    words = [[codes[w] for w in lower_words(t)] for t in texts]
+    count = np.array([len(w) for w in words], dtype=np.int64)
+    flat = np.array([c for w in words for c in w], dtype=np.uint64)
+    text = np.repeat(np.arange(len(texts)), count)
+    left = np.repeat(np.cumsum(count), count) - np.arange(len(flat))
+    # A short text's only shingle is its first; words that it lacks count as zero.
+    first = left == count[text]
+    inside = (left >= size) | (first & (count[text] < size))
+    h = np.zeros(len(flat), dtype=np.uint64)
+    for j in range(size):
+        there = np.flatnonzero(left > j)
+        h[there] += _mixed(flat[there + j] + np.uint64(j + 1)) * np.uint64(2 * j + 1)
+    h, text = _mixed(h[inside]), text[inside]
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    h, text = h[fresh], text[fresh]
+    return h, np.searchsorted(text, np.arange(len(texts) + 1))
+
+
+def _split(sets: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    return [sets[0][a:b] for a, b in zip(sets[1][:-1], sets[1][1:])]
 
 
 def set_node(held: np.ndarray) -> int:
@@ -47,23 +91,36 @@ def set_node(held: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(held.tobytes(), SEED)).astype(np.int64))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS keys for each set; none of the sets is empty."""
-    rng = np.random.default_rng(SEED)
-    turns = rng.integers(0, 1 << 63, (2, BANDS, BAND_ROWS), dtype=np.uint64)
-    flat = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.zeros((len(sets), BANDS), dtype=np.uint64)
-    held = np.empty_like(flat)
-    for k in range(BANDS):
-        key = np.full(len(sets), k, dtype=np.uint64)
-        for j in range(BAND_ROWS):
-            np.bitwise_xor(flat, turns[0, k, j], out=held)
-            np.multiply(held, turns[1, k, j] | np.uint64(1), out=held)
-            key = (key ^ np.minimum.reduceat(held, starts)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        out[:, k] = key
-    return out.view(np.int64)
+def set_fingerprints(sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A row of VARIANTS fingerprints of each set."""
+    h, at = sets
+    return np.stack([majority(remixed(h, v), np.diff(at)) for v in range(VARIANTS)], axis=1)
+
+
+def size_code(n: np.ndarray) -> np.ndarray:
+    """Logarithmic size in seven bits; sizes of similar sets are at most three apart."""
+    return np.minimum(np.log(np.maximum(n, 1)) / 0.11, 127).astype(np.int64)
+
+
+def key_marks(fps: np.ndarray, size: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place, mark) over all keys of the fingerprints (a row of variants each).
+
+    A mark is a key of 33 bits, 24 bits of the fingerprint outside the key, and the size code.
+    """
+    places, marks = [], []
+    for v in range(fps.shape[1]):
+        place, key = bucket_keys(fps[:, v], golay)
+        turn = ((16 * (key >> 28) + 39) % 64).astype(np.uint64)
+        rest = (fps[place, v] >> turn) | (fps[place, v] << (np.uint64(64) - turn))
+        held = (rest & np.uint64(0xFFFFFF)).astype(np.int64)
+        places.append(place)
+        marks.append((((np.int64(v) << 30) | key) << 31) | (held << 7) | size_code(size[place]))
+    return np.concatenate(places), np.concatenate(marks)
+
+
+def candidates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether marks of one key are near each other beyond it."""
+    return (np.bitwise_count((a ^ b) >> 7 & 0xFFFFFF) <= REST_BITS) & (np.abs((a & 127) - (b & 127)) <= 3)
 
 
 def similar(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -72,32 +129,52 @@ def similar(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, keys) of every row with an id; wordless texts have no keys."""
+    """(id, node, size, fps) of every row with an id; wordless texts have no fingerprints."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
         for batch in slices(batches, 256):
-            sets = [shingle_set(t) for t in bytes_of(batch.column(1)).to_pylist()]
-            full = [s for s in sets if len(s)]
-            keys = iter(band_keys(full) if full else ())
-            lists = [next(keys) if len(s) else np.zeros(0, np.int64) for s in sets]
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_node(s) for s in sets], pa.int64()), held], ["id", "node", "keys"])
+            texts = bytes_of(batch.column(1)).to_pylist()
+            sets = shingle_sets(texts, SHINGLE, codes)
+            size = np.diff(sets[1])
+            fps = set_fingerprints(shingle_sets(texts, FEATURE, codes))[size > 0]
+            ends = np.concatenate([[0], np.cumsum((size > 0) * VARIANTS)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(fps.view(np.int64).ravel()))
+            nodes = pa.array([set_node(s) for s in _split(sets)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(size), lists], ["id", "node", "size", "fps"])
+            if len(codes) > CODES:
+                codes.clear()
 
     named = docs.filter(docs[id_col].isNotNull())
-    return named.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(mark, f"id {id_type}, node bigint, keys array<bigint>")
+    shape = f"id {id_type}, node bigint, size bigint, fps array<bigint>"
+    return named.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(mark, shape)
+
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, node) of all keys of nodes (node, size, fps)."""
+    golay = Golay()
+    for batch in slices(batches, 4096):
+        node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fps = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, VARIANTS)
+        full = np.flatnonzero(size > 0)
+        if len(full):
+            place, mark = key_marks(fps, size[full], golay)
+            yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(node[full][place])], ["mark", "node"])
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], pa.Array | None]]:
-    """Batches sorted by their first column, (key, node[, set]), cut so that runs of a key stay whole."""
+
+def _runs(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[tuple[list[np.ndarray], pa.Array | None]]:
+    """Batches sorted by their first column, (key, node[, set]), cut so that runs of a key stay whole.
+
+    The key is the first column without its last ``shift`` bits.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(0).to_numpy()
+        key = batch.column(0).to_numpy() >> shift
         cut = int(np.searchsorted(key, key[-1]))
-        if held and (cut or held[0].column(0)[0].as_py() != key[0]):
+        if held and (cut or held[0].column(0)[0].as_py() >> shift != key[0]):
             if cut:
                 yield from _columns([*held, batch.slice(0, cut)])
             else:
@@ -123,21 +200,35 @@ def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cuts, np.diff(np.concatenate([cuts, [len(key)]]))
 
 
+def _near_any(mark: np.ndarray) -> np.ndarray:
+    """Whether each mark of one bucket has a candidate in it."""
+    out = np.zeros(len(mark), bool)
+    for a in range(0, len(mark), 256):
+        part = mark[a : a + 256]
+        near = candidates(part[:, None], mark[None, :])
+        near[np.arange(len(part)), np.arange(a, a + len(part))] = False
+        out[a : a + 256] = near.any(1)
+    return out
+
+
 def _meet(pair_rows: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (key, a, b) of small buckets; the nodes (key, a, null) of large ones."""
-        for (key, node), _ in _runs(batches):
-            _, size = _cuts(key)
+        """Pairs (key, a, b) of small buckets; the nodes (key, a, null) of large ones that have a candidate."""
+        for (mark, node), _ in _runs(batches, 31):
+            key = mark >> 31
+            cuts, size = _cuts(key)
             run = np.repeat(size, size)
-            large = np.flatnonzero(run > pair_rows)
-            if len(large):
-                yield pa.RecordBatch.from_arrays([pa.array(key[large]), pa.array(node[large]), pa.nulls(len(large), pa.int64())], ["key", "a", "b"])
+            for c, n in zip(cuts[size > pair_rows], size[size > pair_rows]):
+                held = np.arange(c, c + n)[_near_any(mark[c : c + n])]
+                if len(held):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[held]), pa.array(node[held]), pa.nulls(len(held), pa.int64())], ["key", "a", "b"])
             for step in range(1, pair_rows):
                 at = np.flatnonzero((run > step) & (run <= pair_rows))
                 at = at[at + step < len(key)]
                 at = at[key[at] == key[at + step]]
                 if not len(at):
                     break
+                at = at[candidates(mark[at], mark[at + step])]
                 a, b = np.minimum(node[at], node[at + step]), np.maximum(node[at], node[at + step])
                 yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(a), pa.array(b)], ["key", "a", "b"])
 
@@ -191,8 +282,9 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, pair_rows: int) -> DataFrame:
     """Verified links (a, b) between nodes that connect all that candidates connect."""
-    nodes = marks.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    keys = nodes.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key")
+    nodes = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps"))
+    keys = nodes.select("node", "size", "fps").mapInArrow(_keyed, "mark bigint, node bigint")
+    keys = keys.repartition(F.shiftright("mark", 31)).sortWithinPartitions("mark")
     met = pinned(keys.mapInArrow(_meet(pair_rows), "key bigint, a bigint, b bigint"))
     pairs = pinned(met.filter("b IS NOT NULL").select("a", "b").distinct())
     large = met.filter("b IS NULL").select("key", F.col("a").alias("node"))
@@ -202,13 +294,13 @@ def _links(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, pair_r
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            sets = [shingle_set(t) for t in bytes_of(batch.column(1)).to_pylist()]
+            sets = _split(shingle_sets(bytes_of(batch.column(1)).to_pylist(), SHINGLE))
             kept = [k for k, (s, n) in enumerate(zip(sets, batch.column(0).to_pylist())) if set_node(s) == n]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(kept, pa.int64())), pa.array([sets[k].tobytes() for k in kept], pa.binary())], ["node", "held"]
             )
 
-    texts = docs.join(asked, docs[id_col] == F.col("_id")).select(F.col("_node"), docs[text_col].alias("text"))
+    texts = docs.join(asked, docs[id_col] == asked["_id"]).select(asked["_node"], docs[text_col].alias("text"))
     sets = texts.mapInArrow(fill, "node bigint, held binary")
     # Rows that repeat an id with one set would repeat its node.
     sets = pinned(sets if marks.groupBy("id").count().filter("count > 1").isEmpty() else sets.dropDuplicates(["node"]))
@@ -230,19 +322,21 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     again = lookup(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_again")))
     nameless = docs.filter(docs[id_col].isNull())
     if again.isEmpty():
-        staying = docs.join(first.select("_keep"), docs[id_col] == F.col("_keep"), "left_semi")
+        staying = docs.join(first, docs[id_col] == first["_keep"], "left_semi")
     else:
-        single = first.join(again, F.col("_keep") == F.col("_again"), "left_anti").select("_keep")
-        staying = docs.join(single, docs[id_col] == F.col("_keep"), "left_semi")
-        shape = StructType([*docs.schema.fields, StructField("_node", LongType())])
+        single = pinned(first.join(again, F.col("_keep") == F.col("_again"), "left_anti"))
+        staying = docs.join(single, docs[id_col] == single["_keep"], "left_semi")
+        # A name that no column of the rows has.
+        own = "_" * (max(map(len, docs.columns)) + 1)
+        shape = StructType([*docs.schema.fields, StructField(own, LongType())])
         text = docs.columns.index(text_col)
 
         def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 256):
-                node = [set_node(shingle_set(t)) for t in bytes_of(batch.column(text)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "_node"])
+                node = [set_node(s) for s in _split(shingle_sets(bytes_of(batch.column(text)).to_pylist(), SHINGLE))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, own])
 
-        told = docs.join(again, docs[id_col] == F.col("_again"), "left_semi").mapInArrow(tell, shape)
-        told = told.join(first, (F.col(id_col) == F.col("_keep")) & (F.col("_node") == F.col("_kept")), "left_semi")
-        staying = staying.unionByName(told.dropDuplicates([id_col, "_node"]).drop("_node"))
+        told = docs.join(again, docs[id_col] == again["_again"], "left_semi").mapInArrow(tell, shape)
+        told = told.join(first, (told[id_col] == first["_keep"]) & (told[own] == first["_kept"]), "left_semi")
+        staying = staying.unionByName(told.dropDuplicates([id_col, own]).drop(own))
     return staying if nameless.isEmpty() else staying.unionByName(nameless)

@@ -8,7 +8,8 @@ distance four. Any two words at most two bits apart share one of these up to six
 indices, so equal segment plus index is a key that every linked pair shares: a hash
 join on it, verified by counting bits, finds all links.
 
-A bucket yields a spanning forest of its verified links, not its pairs. A bucket too
+A bucket yields one link a row, to the first of the rows that its verified links connect
+with it, not its pairs. A bucket too
 large for one task goes another exact way: fingerprints meet at points one bit from one
 and at most two bits from the other.
 
@@ -48,7 +49,7 @@ def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[i
     return [digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(size))))]
 
 
-def _remix(h: np.ndarray, variant: int) -> np.ndarray:
+def remixed(h: np.ndarray, variant: int) -> np.ndarray:
     """Another well-spread hash of the same shingles; variant 0 is the hash itself."""
     if variant:
         h = (h ^ np.uint64(variant * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -57,38 +58,55 @@ def _remix(h: np.ndarray, variant: int) -> np.ndarray:
     return h
 
 
-def fingerprints(texts: list[bytes], size: int = SHINGLE, variants: int = 1) -> np.ndarray:
-    """Majority bits of the shingle hashes of each text, as uint64: a row per variant of the hash."""
-    hashes = [shingle_hashes(t, size) for t in texts]
-    counts = np.array([len(h) for h in hashes], dtype=np.int64)
-    out = np.zeros((variants, len(texts)), dtype=np.uint64)
+def majority(flat: np.ndarray, counts: np.ndarray, width: int = 64) -> np.ndarray:
+    """The bits that over half the hashes of each text set; ``flat`` has the hashes text by text.
+
+    Hashes stand in blocks of ``width``, filled up with zeros, and are added as columns of
+    bits: numbers of k bits are k words, so one addition of words adds 64 counters.
+    """
+    out = np.zeros(len(counts), dtype=np.uint64)
     full = np.flatnonzero(counts)
-    if len(full):
-        flat = np.array([h for hs in hashes for h in hs], dtype=np.uint64)
-        starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        for v in range(variants):
-            bits = np.unpackbits(_remix(flat, v).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            out[v, full] = np.packbits(ones * 2 > counts[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    if not len(full):
+        return out
+    held = counts[full]
+    blocks = -(-held // width)
+    first = np.cumsum(blocks) - blocks
+    padded = np.zeros(int(blocks.sum()) * width, dtype=np.uint64)
+    padded[np.arange(len(flat)) + np.repeat(first * width - (np.cumsum(held) - held), held)] = flat
+    planes = [padded.reshape(-1, width)]
+    while planes[0].shape[1] > 1:
+        carry, added = np.uint64(0), []
+        for p in planes:
+            a, b = p[:, ::2], p[:, 1::2]
+            odd = a ^ b
+            added.append(odd ^ carry)
+            carry = (a & b) | (carry & odd)
+        planes = [*added, carry]
+    ones = np.zeros((len(planes[0]), 64), dtype=np.int64)
+    for k, p in enumerate(planes):
+        ones += np.unpackbits(np.ascontiguousarray(p).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) << k
+    ones = np.add.reduceat(ones, first, axis=0)
+    out[full] = np.packbits(ones * 2 > held[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, variants: int = 1) -> DataFrame:
-    """(id, fp, fp1, ...) of every row; each holds the 64 bits of one variant as a signed long."""
+def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Majority bits of the shingle hashes of each text, as uint64."""
+    hashes = [shingle_hashes(t, size) for t in texts]
+    counts = np.array([len(h) for h in hashes], dtype=np.int64)
+    return majority(np.array([h for hs in hashes for h in hs], dtype=np.uint64), counts)
+
+
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(id, fp) of every row; fp holds the 64 bits as a signed long."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = _names(variants)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            fp = fingerprints(bytes_of(batch.column(1)).to_pylist(), size, variants)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(row.view(np.int64)) for row in fp)], ["id", *names])
-
-    shape = ", ".join(f"{n} bigint" for n in names)
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(mark, f"id {id_type}, {shape}")
+            fp = fingerprints(bytes_of(batch.column(1)).to_pylist(), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-
-def _names(variants: int) -> list[str]:
-    return ["fp", *(f"fp{v}" for v in range(1, variants))]
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(mark, f"id {id_type}, fp bigint")
 
 
 class Golay:
@@ -168,25 +186,38 @@ def _forest(fp: np.ndarray, node: np.ndarray, bits: int) -> list[tuple[int, int]
 
 
 def bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links inside runs of equal keys that make up spanning forests."""
+    """Links of every row to the first of its component inside a run of equal keys: at most one a row.
+
+    Rows are ordered by node in a run, so that the trees of different buckets share their roots.
+    """
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([cuts, [len(key)]]))
-    a, b = [], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     run = np.repeat(size, size)
     for step in range(1, 16):
         first = np.flatnonzero((run > step) & (run <= 16))
         first = first[first + step < len(key)]
         first = first[key[first] == key[first + step]]
         hit = first[np.bitwise_count(fp[first] ^ fp[first + step]) <= bits]
-        a.append(node[hit])
-        b.append(node[hit + step])
+        a.append(hit)
+        b.append(hit + step)
     for c, n in zip(cuts[size > 16], size[size > 16]):
-        links = _forest(fp[c : c + n], node[c : c + n], bits)
+        links = _forest(fp[c : c + n], np.arange(c, c + n), bits)
         if links:
             x, y = zip(*links)
             a.append(np.array(x))
             b.append(np.array(y))
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    left, right = np.concatenate(a), np.concatenate(b)
+    root = np.arange(len(key))
+    while True:
+        low = np.minimum(root[left], root[right])
+        if (root[left] == low).all() and (root[right] == low).all():
+            break
+        np.minimum.at(root, left, low)
+        np.minimum.at(root, right, low)
+        root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(key)))
+    return node[root[moved]], node[moved]
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,44 +288,15 @@ def fingerprint_links(marks: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
         if not over.isEmpty():
             apart = _meeting_points(keys.join(over, F.col("key") == F.col("_k"), "left_semi").select("fp", "node").distinct())
             keys = keys.join(over, F.col("key") == F.col("_k"), "left_anti")
-    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_link_batches, "a bigint, b bigint")
+    links = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_link_batches, "a bigint, b bigint")
     return links if apart is None else links.unionByName(apart)
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bucket_rows: int = BUCKET_ROWS, variants: int = 1
-) -> DataFrame:
-    """(id, fp, component) of every row; component is the smallest id reachable over links.
-
-    With more variants each row has several independent fingerprints, and rows link that
-    are close in any: of near copies whose bits differ by chance, more are found.
-    """
-    names = _names(variants)
-    rows = pinned(fingerprint_table(docs, id_col, text_col, size, variants))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(id, fp, component) of every row; component is the smallest id reachable over links."""
+    rows = pinned(fingerprint_table(docs, id_col, text_col, size))
     marks = pinned(rows.filter(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("node")))
     links = fingerprint_links(marks, bucket_rows)
-    if variants > 1:
-        # Rows of one first fingerprint are one node; their other fingerprints may differ.
-        held = rows.filter(F.col("id").isNotNull()).select(*names).distinct().join(marks.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
-        held = pinned(held.select("node", *names[1:]))
-        for name in names[1:]:
-            other = pinned(held.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node")))
-            stars = held.join(other.toDF("_fp", "_node"), F.col(name) == F.col("_fp")).filter("node <> _node")
-            links = links.union(stars.select("node", "_node")).union(fingerprint_links(other, bucket_rows))
     roots = lookup(connected_components(links).withColumnRenamed("node", "_node"))
     classes = pinned(marks.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("component")))
     return rows.join(classes, F.col("fp") == F.col("_fp"), "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, variants: int = 1) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, with all columns.
-
-    Rows without an id stay. Rows that repeat an id stay once.
-    """
-    kept = near_duplicates(docs, id_col, text_col, size, variants=variants).filter(F.col("id") == F.col("component"))
-    ids = pinned(kept.groupBy(F.col("id").alias("_keep")).agg(F.count("*").alias("_times")))
-    staying = docs.join(ids.select("_keep"), docs[id_col] == F.col("_keep"), "left_semi")
-    if not ids.filter("_times > 1").isEmpty():
-        staying = staying.dropDuplicates([id_col])
-    nameless = docs.filter(docs[id_col].isNull())
-    return staying if nameless.isEmpty() else staying.unionByName(nameless)
