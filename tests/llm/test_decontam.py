@@ -7,7 +7,7 @@ from vellum.llm import decontam
 def brute(text, item):
     """Whether any alignment of the item on the text has four fifths equal words, over the item or a stretch."""
     t, n = decontam.folded_words(text), decontam.folded_words(item)
-    if len(n) < 5:
+    if not n:
         return False
     for shift in range(-len(n), len(t)):
         same = [0 <= shift + j < len(t) and t[shift + j] == n[j] for j in range(len(n))]
@@ -36,7 +36,7 @@ def _cases():
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(3000)}"
     items = [(i, " ".join(word() for _ in range(rng.randrange(15, 60)))) for i in range(12)]
-    items += [(50, "too short item"), (51, ""), (52, None), (53, items[0][1])]
+    items += [(50, "too short item"), (51, ""), (52, None), (53, items[0][1]), (54, "lone"), (55, "What is the capital"), (56, "one two")]
     docs = []
     for i in range(60):
         base = [word() for _ in range(rng.randrange(0, 120))]
@@ -49,6 +49,7 @@ def _cases():
             at = rng.randrange(len(base) + 1)
             base = base[:at] + [w.upper() + "," for w in passage] + base[at:]
         docs.append((i, " ".join(base)))
+    docs += [(70, "ask: what is the CAPITAL? none"), (71, "what is a capital one or two"), (72, "one, two lone"), (73, "too short items"), (74, "x " * 300 + items[2][1])]
     return docs + [(None, items[3][1]), (77, None), (88, ""), (88, "")], items
 
 
@@ -66,6 +67,19 @@ def test_leaks_match_brute_force(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _ in docs if i not in bad), key=str)
 
 
+def test_stock_phrase_in_many_items_is_bounded(monkeypatch):
+    """Thousands of items that begin alike, in texts that repeat the phrase."""
+    phrase = "choose the best answer to the question below"
+    index = decontam.SeedIndex([(k, (f"{phrase} " + " ".join(f"i{k}x{j}" for j in range(12))).encode()) for k in range(3000)])
+    widest = []
+    plain = index._verify
+    monkeypatch.setattr(decontam, "HITS", 20_000)
+    monkeypatch.setattr(index, "_verify", lambda f, b, e, t, i, s: widest.append(len(i)) or plain(f, b, e, t, i, s))
+    texts = [f"{phrase} nothing else. ".encode() * 5, f"{phrase} ".encode() * 5 + " ".join(f"i7x{j}" for j in range(12)).encode()]
+    assert [(int(t), index.ids[int(i)]) for t, i, *_ in index.search(texts)] == [(1, 7)]
+    assert len(widest) > 5 and max(widest) <= 20_000
+
+
 def test_empty_sides(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")

@@ -7,11 +7,13 @@ hit fixes an alignment, along which words are compared one by one: a passage lea
 four fifths of its aligned words agree, over the whole item or over a long stretch.
 
 The benchmark enters in blocks of bounded size, each a hash table held against all
-documents, so the join needs no shuffle of the documents.
+documents, so the join needs no shuffle of the documents; there is one scan for each block,
+and one block at a time on the driver. Hits are expanded and verified ``HITS`` at a time,
+so a passage that many items share takes time but no memory.
 
-Defined cases: a null text has no words; items of fewer words than a mask spans are not
-searched; repeated rows and equal items are reported each; an empty table on either side
-gives no rows; other columns are ignored.
+Defined cases: a null text has no words; an item of fewer words than a mask spans is found
+where all its words stand in a row, one of no words nowhere; repeated rows and equal items
+are reported each; an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, pinned, slices
+from .common import bytes_of, pinned, shared_path, slices
 
 #: Offsets that each mask reads.
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
@@ -33,6 +35,8 @@ SIMILARITY = 0.8
 STRETCH = 12
 #: Characters of benchmark text that one block holds.
 BLOCK_CHARS = 8_000_000
+#: Pairs of a place and an item that are verified at a time.
+HITS = 500_000
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -59,30 +63,38 @@ class SeedIndex:
         self.ids, words = [], []
         for item, text in items:
             found = folded_words(text or b"")
-            if len(found) >= SPAN:
+            if found:
                 self.ids.append(item)
                 words.append([vocab.setdefault(w, len(vocab) + 1) for w in found])
         self.vocab = vocab
         self.codes = _mix(len(vocab) + 1, 11)
-        self.factors = [_mix(4, 1000 + m) for m in range(len(MASKS))]
+        # Short items have masks of all their words, which no longer item takes.
+        self.masks = [(mask, SPAN, None) for mask in MASKS] + [(tuple(range(n)), n, n) for n in range(1, SPAN)]
+        self.factors = [_mix(SPAN, 1000 + m) for m in range(len(self.masks))]
         self.length = np.array([len(w) for w in words], dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
         self.words = np.array([x for w in words for x in w], dtype=np.int64)
         self.tables = []
-        for m, mask in enumerate(MASKS):
+        items, places, base = [], [], 0
+        for m, (mask, least, most) in enumerate(self.masks):
             span = mask[-1] + 1
             h = self._hashes(self.words, m)
             item = np.repeat(np.arange(len(words)), self.length)[: len(h)]
             place = np.arange(len(h)) - self.start[item] if len(h) else np.zeros(0, np.int64)
-            inside = place + span <= self.length[item] if len(h) else np.zeros(0, bool)
+            size = self.length[item]
+            inside = (place + span <= size) & (size >= least) & (size <= (most or size))
             h, item, place = h[inside], item[inside], place[inside]
             order = np.argsort(h, kind="stable")
             sieve = np.zeros(1 << 20, dtype=bool)
             sieve[h >> np.uint64(44)] = True
-            self.tables.append((h[order], item[order], place[order], sieve))
+            self.tables.append((h[order], base, sieve))
+            items.append(item[order])
+            places.append(place[order])
+            base += len(h)
+        self.items, self.places = np.concatenate(items), np.concatenate(places)
 
     def _hashes(self, words: np.ndarray, m: int) -> np.ndarray:
-        mask, factors = MASKS[m], self.factors[m]
+        mask, factors = self.masks[m][0], self.factors[m]
         n = len(words) - mask[-1]
         if n <= 0:
             return np.zeros(0, np.uint64)
@@ -108,21 +120,33 @@ class SeedIndex:
             words += gap
         flat = np.array(words, dtype=np.int64)
         begin, end = np.array(start, dtype=np.int64), np.array(stop, dtype=np.int64)
-        found = []
-        for m, (hashes, items, places, sieve) in enumerate(self.tables):
+        spots, firsts, counts = [], [], []
+        for m, (hashes, base, sieve) in enumerate(self.tables):
             h = self._hashes(flat, m)
             at = np.flatnonzero(sieve[h >> np.uint64(44)])
             low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-            many = high - low
-            at, low, many = at[many > 0], low[many > 0], many[many > 0]
-            if len(at):
-                k = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                spot = np.repeat(at, many)
-                found.append(np.stack([np.searchsorted(begin, spot, "right") - 1, items[k], spot - places[k]]))
-        if not found:
-            return none
-        text, item, shift = np.unique(np.concatenate(found, axis=1), axis=1)
-        held = self._verify(flat, begin, end, text, item, shift)
+            hit = high > low
+            spots.append(at[hit])
+            firsts.append(base + low[hit])
+            counts.append((high - low)[hit])
+        spot, first, many = (np.concatenate(x) for x in (spots, firsts, counts))
+        order = np.argsort(spot, kind="stable")
+        spot, first, many = spot[order], first[order], many[order]
+        ends = np.cumsum(many)
+        total, best = int(ends[-1]) if len(ends) else 0, none
+        # In the order of places, so that the hits of one alignment come together; a place of many items comes in parts.
+        for a in range(0, total, HITS):
+            pair = np.arange(a, min(a + HITS, total))
+            own = np.searchsorted(ends, pair, "right")
+            k = first[own] + pair - (ends[own] - many[own])
+            at = spot[own]
+            text, item, shift = np.unique(np.stack([np.searchsorted(begin, at, "right") - 1, self.items[k], at - self.places[k]]), axis=1)
+            best = self._best(np.concatenate([best, self._verify(flat, begin, end, text, item, shift)]))
+        return best
+
+    @staticmethod
+    def _best(held: np.ndarray) -> np.ndarray:
+        """Of rows (text, item, start, length, equal) the best of each text and item."""
         order = np.lexsort((held[:, 2], -held[:, 4], held[:, 1], held[:, 0]))
         held = held[order]
         first = np.ones(len(held), bool)
@@ -167,17 +191,15 @@ class SeedIndex:
         return np.concatenate(out)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> list[SeedIndex]:
-    """One index per block of about ``block_chars`` characters of items."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[SeedIndex]:
+    """One index per block of about ``block_chars`` characters of items, one at a time."""
     items = pinned(benchmark.select(benchmark[item_col].alias("item"), benchmark[text_col].alias("text")).filter(F.col("text").isNotNull()))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
     block = F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1)))
-    found = []
     for b in range(blocks):
         rows = items.filter(block == b).orderBy("item", "text").collect()
-        found.append(SeedIndex([(r["item"], r["text"].encode()) for r in rows]))
-    return found
+        yield SeedIndex([(r["item"], r["text"].encode()) for r in rows])
 
 
 def find_leaks(
@@ -197,9 +219,14 @@ def find_leaks(
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {id_type}, item {item_type}, start bigint, words bigint, equal bigint"
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    found = spark.createDataFrame([], schema)
+    found = None
     for index in _blocks(benchmark, item_col, item_text_col, block_chars):
-        found = found.unionByName(source.mapInArrow(_searcher(spark, index), schema))
+        if found is not None:
+            # What earlier blocks have found is stored, so that they need not stay in memory.
+            found = pinned(found)
+        part = source.mapInArrow(_searcher(spark, index), schema)
+        found = part if found is None else found.unionByName(part)
+    found = spark.createDataFrame([], schema) if found is None else found
     return found.withColumn("similarity", F.col("equal") / F.col("words"))
 
 
@@ -222,7 +249,11 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The rows of ``docs`` into which no item leaks, with all columns."""
     spark = docs.sparkSession
     kept = docs
-    for index in _blocks(benchmark, item_col, item_text_col, block_chars):
+    for number, index in enumerate(_blocks(benchmark, item_col, item_text_col, block_chars)):
+        if number:
+            path = shared_path(spark, "clean")
+            kept.write.parquet(path)
+            kept = spark.read.schema(docs.schema).parquet(path)
         sent = spark.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
