@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from vellum.llm import secrets
 from vellum.llm.queries import op5_secrets
@@ -42,13 +44,60 @@ def test_base_matches_the_definition(spark):
 
 def test_weak_parts_need_their_complement():
     linked = lambda t: [k for _, _, k in secrets.all_spans(t)[1] if k in ("key", "endpoint")]
-    assert linked(f"{KEY} https://db.example.com/x") == []
     assert linked(f"{ID} and {KEY}") == ["key"]
     assert linked(f"{ID} and {KEY} at https://db.example.com/x") == ["key", "endpoint"]
+    assert linked(f"{KEY} https://db.example.com/x") == ["key", "endpoint"]
+    assert linked("password=abcdefghijklmnop at https://db.example.com/x") == ["endpoint"]
+    assert linked(f"{KEY} alone") == linked("https://db.example.com/x alone") == [], "one part"
+    assert linked(f"https://db.example.com/{KEY}") == [], "a key inside its only endpoint"
+    assert linked("0123456789abcdef0123 https://db.example.com/x") == [], "digits beside an endpoint"
     assert linked(f"{ID} at https://db.example.com/x") == []
-    assert linked(f"{ID}\n\n{KEY}") == [], "another scope"
+    assert linked(f"{ID}\n\n{KEY}") == linked(f"{KEY}\n\nhttps://db.example.com/x") == [], "another scope"
     assert linked(f"{ID} {'.' * 300} {KEY}") == [], "out of reach"
     assert linked(f"{ID} {'lower' * 8}") == [], "not key-like"
+    assert linked(f"{ID} {KEY * 9}") == ["key"], "a long key"
+
+
+def brute_linked(text, reach):
+    """Every pair of parts, scope by scope."""
+    base = brute_base(text)
+    ends = [(m.start(), m.end(), "endpoint") for m in secrets._ENDPOINT.finditer(text)]
+    breaks = [m.end() for m in secrets._SCOPE_END.finditer(text)]
+    scope = lambda s: sum(b <= s[0] for b in breaks)
+    near = lambda s, parts: any(scope(s) == scope(p) and p[0] <= s[1] + reach and p[1] >= s[0] - reach for p in parts)
+    over = lambda s, parts: any(p[0] < s[1] and p[1] > s[0] for p in parts)
+    ids = [s for s in base if s[2] == "access"]
+    keys = []
+    for m in secrets._KEY.finditer(text):
+        s = (m.start(), m.end(), "key")
+        if secrets._mixed(m.group()) and not over(s, base) and (near(s, ids) or (near(s, ends) and not over(s, ends))):
+            keys.append(s)
+    told = [s for s in base if s[2] == "assign"] + keys
+    strong = [s for s in base if s[2] != "access"] + keys
+    return keys + [s for s in ends if near(s, told) or (near(s, ids) and near(s, strong))]
+
+
+def test_linked_spans_match_brute_force():
+    rng, found = random.Random(6), 0
+    parts = [ID, KEY, KEY[:25] + "==", "https://a.example/x", "ftp://h/" + KEY[:22], "password: abcdefghijklmnop", "deadbeef" * 3, "word", "\n\n", " \n \n ", "." * 30, ". " * 60]
+    for _ in range(400):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        for reach in (5, 60, 240):
+            got = secrets.linked_spans(text, secrets.base_spans(text), reach)
+            assert got == brute_linked(text, reach)
+            found += len(got)
+    assert found > 500
+
+
+def test_long_texts_take_time_in_proportion():
+    def seconds(n):
+        text = f"token={'x1Y' * n} {ID} " + f"{KEY} https://h.example/{'a' * 20} word\n" * (n // 50)
+        start = time.process_time()
+        secrets.all_spans(text)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(200_000) < 12 * max(seconds(50_000), 0.02)
 
 
 def test_query(spark, tmp_path):
@@ -62,7 +111,7 @@ def test_query(spark, tmp_path):
 
 def test_redaction(spark):
     text = f"a {ID} b password={'ab12' * 5} c"
-    docs = spark.createDataFrame([(1, text, len(text)), (2, None, None), (3, "ok", 2)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, text, len(text), "x", 1), (2, None, None, "y", 2), (3, "ok", 2, "z", 3)], "doc_id long, text string, n_chars long, spans string, value int")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact_documents(docs).collect()}
     clean = "a [REDACTED] b [REDACTED] c"
     assert got == {1: (clean, len(clean)), 2: (None, None), 3: ("ok", 2)}

@@ -2,7 +2,11 @@
 
 Strong patterns are reported wherever they occur. Weak candidates (bare key material,
 endpoints) say nothing alone: they are reported only where an interval join inside one
-scope finds the complementary parts next to them.
+scope finds the complementary parts next to them: an access identifier, a secret and an
+endpoint make up a credential, and two of them with at least one secret or identifier do.
+Scopes end at blank lines, and parts further than ``reach`` code points apart (240, a
+parameter) are not of one credential. Each join looks at running maxima of span ends, so
+the scan takes n log n steps whatever the spans' lengths.
 
 Defined cases: a null text counts as empty; an empty table gives no rows; repeated rows
 are each reported; other columns of the input are ignored, whatever their names.
@@ -32,7 +36,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,88}={0,2}(?![A-Za-z0-9+/_=-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}", re.A)
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -53,58 +57,60 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isupper() for c in token) and any(c.islower() for c in token)
 
 
-def _near(parts: list[Span], starts: list[int], longest: int, span: Span, scopes: list[int]) -> bool:
-    """Whether a part lies within REACH of the span, in the same scope."""
-    scope = bisect.bisect_right(scopes, span[0])
-    at = bisect.bisect_left(starts, span[0] - REACH - longest)
-    while at < len(parts) and starts[at] <= span[1] + REACH:
-        if parts[at][1] >= span[0] - REACH and bisect.bisect_right(scopes, starts[at]) == scope:
-            return True
-        at += 1
-    return False
+class _Parts:
+    """Spans by start, with the running maximum of their ends inside each scope."""
 
+    def __init__(self, spans: list[Span], scopes: list[int]) -> None:
+        spans = sorted(spans)
+        self.scopes = scopes
+        self.starts = [s[0] for s in spans]
+        self.scope = [bisect.bisect_right(scopes, a) for a in self.starts]
+        self.last: list[int] = []
+        for i, span in enumerate(spans):
+            carried = self.last[-1] if i and self.scope[i] == self.scope[i - 1] else -1
+            self.last.append(max(carried, span[1]))
 
-def _index(parts: list[Span]) -> tuple[list[Span], list[int], int]:
-    parts = sorted(parts)
-    return parts, [p[0] for p in parts], max((p[1] - p[0] for p in parts), default=0)
+    def near(self, span: Span, reach: int) -> bool:
+        """Whether a part of the span's scope lies within ``reach`` of it."""
+        at = bisect.bisect_right(self.starts, span[1] + reach) - 1
+        scope = bisect.bisect_right(self.scopes, span[0])
+        while at >= 0 and self.scope[at] > scope:
+            at = bisect.bisect_left(self.scope, self.scope[at]) - 1
+        return at >= 0 and self.scope[at] == scope and self.last[at] >= span[0] - reach
 
+    def over(self, span: Span) -> bool:
+        """Whether a part and the span overlap; scopes are one here."""
+        at = bisect.bisect_left(self.starts, span[1]) - 1
+        return at >= 0 and self.last[at] > span[0]
 
-def linked_spans(text: str, base: list[Span]) -> list[Span]:
+
+def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak spans that complementary parts in the same scope confirm.
 
-    A bare key needs an access identifier nearby. An endpoint needs an access identifier
-    and a secret, strong or confirmed, nearby. Scopes end at blank lines.
+    A bare key needs an access identifier nearby, or an endpoint that it is no part of. An
+    endpoint needs a secret nearby: an assigned one, a confirmed key or, beside an access
+    identifier, a strong one of any kind.
     """
-    access = [s for s in base if s[2] == "access"]
-    if not access:
+    access, linkable = [s for s in base if s[2] == "access"], "://" in text
+    if not access and not linkable:
         return []
     scopes = [m.end() for m in _SCOPE_END.finditer(text)]
-    ids = _index(access)
-    taken = _index(base)
+    ends = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)] if linkable else []
+    ids, places, taken, within = _Parts(access, scopes), _Parts(ends, scopes), _Parts(base, []), _Parts(ends, [])
     keys = []
-    for m in _KEY.finditer(text):
+    for m in _KEY.finditer(text) if access or ends else ():
         span = (m.start(), m.end(), "key")
-        at = bisect.bisect_left(taken[1], span[0] - taken[2])
-        inside = False
-        while at < len(taken[0]) and taken[1][at] < span[1]:
-            inside |= taken[0][at][1] > span[0]
-            at += 1
-        if not inside and _mixed(m.group()) and _near(*ids, span, scopes):
+        if (ids.near(span, reach) or (places.near(span, reach) and not within.over(span))) and not taken.over(span) and _mixed(m.group()):
             keys.append(span)
-    ends = []
-    if "://" in text:
-        secrets = _index([s for s in base if s[2] != "access"] + keys)
-        for m in _ENDPOINT.finditer(text):
-            span = (m.start(), m.end(), "endpoint")
-            if _near(*ids, span, scopes) and _near(*secrets, span, scopes):
-                ends.append(span)
-    return keys + ends
+    strong = _Parts([s for s in base if s[2] != "access"] + keys, scopes)
+    told = _Parts([s for s in base if s[2] == "assign"] + keys, scopes)
+    return keys + [s for s in ends if told.near(s, reach) or (ids.near(s, reach) and strong.near(s, reach))]
 
 
-def all_spans(text: str) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, reach: int = REACH) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and linked spans together."""
     base = base_spans(text)
-    more = linked_spans(text, base)
+    more = linked_spans(text, base, reach)
     return base, sorted(base + more, key=lambda s: (s[0], _RANK[s[2]])) if more else base
 
 
@@ -126,7 +132,7 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """One row per document: its id, and all spans as an array of (kind, start, end, base)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -135,7 +141,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in slices(batches, 512):
             rows = []
             for text in batch.column(1).to_pylist():
-                base, every = all_spans(text or "")
+                base, every = all_spans(text or "", reach)
                 strong = set(base)
                 rows.append([{"kind": k, "start": a, "end": b, "base": (a, b, k) in strong} for a, b, k in every])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["id", "spans"])
@@ -149,7 +155,7 @@ def digest(spans: str) -> str:
     return hashlib.sha256(spans.encode()).hexdigest()
 
 
-def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", reach: int = REACH) -> DataFrame:
     """The same rows and columns, with secrets replaced and the length column brought up to date.
 
     A null text stays null; a length column that is missing, or null, is left so.
@@ -163,7 +169,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
             changed = False
             for i, text in enumerate(texts):
                 if text:
-                    new = redact(text, all_spans(text)[1])
+                    new = redact(text, all_spans(text, reach)[1])
                     if new is not text:
                         texts[i], changed = new, True
             if changed:
