@@ -2,8 +2,8 @@
 
 Texts are folded to words. Every word enters with a learned word vector and the mean of
 learned vectors of its character 3- to 5-grams, so unseen forms of a known stem are
-recognised; the strongest n-gram's log-odds enters as well. Two gated recurrent layers
-read a window of ``WINDOW`` words forwards and backwards, attention pools their states
+recognised. All vectors start at random: log-odds of words only choose the vocabulary and
+the windows of the first round. Two gated recurrent layers read a window of ``WINDOW`` words forwards and backwards, attention pools their states
 to a logit, and a text scores the highest of all its overlapping windows.
 
 The network is trained in numpy on a bounded sample of labelled texts, ``sample_rows``
@@ -85,27 +85,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters, training pass and scoring pass. Layers: 0 reads forwards, 1 backwards."""
 
-    def __init__(self, vocab: dict[bytes, int], word_odds: np.ndarray, gram_odds: np.ndarray, rng: np.random.Generator) -> None:
-        e, h = WORD_DIM + CHAR_DIM + 1, HIDDEN
+    def __init__(self, vocab: dict[bytes, int], rng: np.random.Generator) -> None:
+        e, h = WORD_DIM + CHAR_DIM, HIDDEN
         small = lambda *shape: rng.normal(0, 0.15, shape).astype(np.float32)
-        self.vocab, self.gram_odds = vocab, gram_odds.astype(np.float32)
+        self.vocab = vocab
         self.p = {"word": small(len(vocab) + 1, WORD_DIM) * 0.1, "gram": small(BUCKETS, CHAR_DIM) * 0.1, "v": small(2 * h), "u": small(2 * h), "c": np.full(1, -1, np.float32)}
-        self.p["word"][1:, 0] = word_odds / 2
         self.p["word"][0] = 0
-        self.p["gram"][:, 0] = gram_odds / 2
         for d in (0, 1):
             self.p |= {f"w{d}": small(e, 3 * h) * 2, f"b{d}": np.zeros(3 * h, np.float32), f"r{d}": small(h, 3 * h) * 2}
 
     def inputs(self, words: np.ndarray, grams: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Input vectors of n words with vocabulary places ``words``; and their gram counts."""
         count = np.bincount(of, minlength=n).astype(np.float32)
-        x = np.zeros((n, WORD_DIM + CHAR_DIM + 1), dtype=np.float32)
+        x = np.zeros((n, WORD_DIM + CHAR_DIM), dtype=np.float32)
         x[:, :WORD_DIM] = self.p["word"][words]
         if len(grams):
             full = np.flatnonzero(count)
             starts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
-            x[full, WORD_DIM:-1] = np.add.reduceat(self.p["gram"][grams], starts, axis=0) / count[full, None]
-            x[full, -1] = np.maximum.reduceat(self.gram_odds[grams], starts) / 4
+            x[full, WORD_DIM:] = np.add.reduceat(self.p["gram"][grams], starts, axis=0) / count[full, None]
         return x, count
 
     def table(self, words: list[bytes], known: bool) -> np.ndarray:
@@ -115,7 +112,7 @@ class Network:
             part = words[a : a + 16_384]
             place = np.array([self.vocab.get(w, 0) for w in part], dtype=np.int64) if known else np.zeros(len(part), np.int64)
             out.append(self.inputs(place, *char_buckets(part), len(part))[0])
-        return np.concatenate(out) if out else np.zeros((0, WORD_DIM + CHAR_DIM + 1), np.float32)
+        return np.concatenate(out) if out else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
 
     def step(self, x: np.ndarray, idx: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean log loss over windows (rows of ``idx`` into ``x``), and x's gradient."""
@@ -278,12 +275,17 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED, rounds:
     if share in (0.0, 1.0):
         return Model(None, share)
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
     seen: dict[bytes, int] = {}
-    ids = [np.array([seen.setdefault(w, len(seen)) for w in d], dtype=np.int64) for d in docs]
+    ids = [np.array([seen.setdefault(w, len(seen)) for w in words_of(t)], dtype=np.int32) for t in texts]
     words = list(seen)
-    grams, of = char_buckets(words)
-    first = np.searchsorted(of, np.arange(len(words) + 1))
+    # N-grams of all words, in pieces, as they outnumber the words by far.
+    held, sizes = [], []
+    for a in range(0, len(words), 16_384):
+        part, of = char_buckets(words[a : a + 16_384])
+        held.append(part.astype(np.int32))
+        sizes.append(np.bincount(of, minlength=min(16_384, len(words) - a)))
+    grams, first = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    del held, sizes, seen
     counts = np.zeros((2, len(words)))
     gram_counts = np.zeros((2, BUCKETS))
     for d, y in zip(ids, labels):
@@ -295,10 +297,12 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED, rounds:
     strength = np.abs(odds) * (counts.sum(0) >= 2)
     top = [int(i) for i in np.lexsort((np.arange(len(words)), -strength))[:MAX_WORDS] if strength[i] > 0]
     vocab = {words[i]: k + 1 for k, i in enumerate(top)}
-    net = Network(vocab, odds[top], _odds(gram_counts[1], gram_counts[0], share), rng)
+    gram_odds = _odds(gram_counts[1], gram_counts[0], share)
+    net = Network(vocab, rng)
     model = Model(net)
     place = np.array([vocab.get(w, 0) for w in words], dtype=np.int64)
-    hint = np.maximum.reduceat(np.concatenate([net.gram_odds[grams], [0]]), np.minimum(first[:-1], len(grams)))
+    # First windows are chosen by log-odds, later ones by the network itself.
+    hint = np.maximum.reduceat(np.concatenate([gram_odds[grams], [0]]), np.minimum(first[:-1], len(grams)))
     hint = np.where(np.diff(first) > 0, hint, 0)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     turn = 0
@@ -307,7 +311,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED, rounds:
         if r:
             # Window scores of the sampled texts under the network so far.
             model.base = None
-            logits, of_text, _ = model.score_windows(texts)
+            logits = np.concatenate([model.score_windows(texts[a : a + 512])[0] for a in range(0, len(texts), 512)])
         at = 0
         for i, d in enumerate(ids):
             starts = windows_of(len(d))
@@ -339,7 +343,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED, rounds:
                 g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
                 np.add.at(g["word"], shown, dx[:, :WORD_DIM])
                 g["word"][0] = 0
-                np.add.at(g["gram"], grams[part], (dx[:, WORD_DIM:-1] / np.maximum(count, 1)[:, None])[own])
+                np.add.at(g["gram"], grams[part], (dx[:, WORD_DIM:] / np.maximum(count, 1)[:, None])[own])
                 turn += 1
                 for k, v in net.p.items():
                     m1, m2 = moments[k]
