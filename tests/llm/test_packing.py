@@ -50,6 +50,20 @@ def check(docs, got, capacity, per_source):
         assert max(Counter((texts[r["id"]], r["piece"]) for r in rows).values()) == 1
 
 
+def test_cells_match_brute_force(spark):
+    """The table's bins, cell by cell, are those of a search over all bins with all pieces; a very long text among them."""
+    rng = random.Random(4)
+    docs = [(i, " ".join("w" for _ in range(rng.randrange(0, 200))), f"s{rng.randrange(4)}") for i in range(90)] + [(900, "long " * 20_000, "x")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = packing.pack_documents(table, capacity=64, per_source=2, cell_rows=30).collect()
+    texts, sources = {i: t for i, t, _ in docs}, {i: s for i, _, s in docs}
+    assert len({r["cell"] for r in got}) > 1 and len(got) > 1500
+    for cell in {r["cell"] for r in got}:
+        mine = sorted((r for r in got if r["cell"] == cell), key=lambda r: (r["id"], r["piece"]))
+        want = brute([r["tokens"] for r in mine], [sources[r["id"]] for r in mine], [(texts[r["id"]], r["piece"]) for r in mine], 64, 2)
+        assert [r["bin"] for r in mine] == want
+
+
 def test_whole_table(spark):
     rng = random.Random(2)
     docs = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 70))), f"s{rng.randrange(4)}" if i % 9 else None) for i in range(150)]

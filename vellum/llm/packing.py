@@ -7,7 +7,9 @@ than ``per_source`` pieces of one source. Each bin carries bitmaps for both; the
 goes on to the next larger room until a compatible bin is found, else a bin is opened.
 
 Packing is done in cells of about ``cell_rows`` documents, dealt by a hash of the row,
-so memory per task is bounded and hot sources or clusters spread over all cells.
+so memory per task is bounded and hot sources or clusters spread over all cells. A piece of
+the whole capacity is a bin by itself, so the search sees one piece a document at most,
+however long the documents are.
 
 Defined cases: a null or empty text is one end mark; a null source is a source of its
 own; null ids are packed like others; repeated rows are packed each, and conflict with
@@ -125,8 +127,12 @@ def pack_documents(
         size = np.minimum(tokens[row] - start, capacity)
         sources = table["source"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()[row]
         # Pieces of one document are different texts; equal pieces of copies conflict.
-        _, groups = np.unique(np.stack([cluster[row], piece]), axis=1, return_inverse=True)
-        bins, offsets = best_fit(size.tolist(), sources.tolist(), groups.ravel().tolist(), capacity, per_source)
+        part = np.flatnonzero(size < capacity)
+        _, groups = np.unique(np.stack([cluster[row[part]], piece[part]]), axis=1, return_inverse=True)
+        found, at = best_fit(size[part].tolist(), sources[part].tolist(), groups.ravel().tolist(), capacity, per_source)
+        whole = np.flatnonzero(size == capacity)
+        bins, offsets = np.empty(len(row), np.int64), np.zeros(len(row), np.int64)
+        bins[whole], bins[part], offsets[part] = np.arange(len(whole)), np.array(found, np.int64) + len(whole), at
         return pa.table(
             {
                 "id": table["id"].take(pa.array(row)),
@@ -134,8 +140,8 @@ def pack_documents(
                 "start": start.astype(np.int64),
                 "tokens": size.astype(np.int64),
                 "cell": table["cell"].take(pa.array(row)),
-                "bin": np.array(bins, np.int64),
-                "offset": np.array(offsets, np.int64),
+                "bin": bins,
+                "offset": offsets,
             }
         )
 
