@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 import zlib
 
 import pytest
@@ -58,3 +60,35 @@ def test_dates_and_warc_errors():
     assert warc.iso_date("20240203040506") == "2024-02-03T04:05:06Z" and warc.iso_date("20240203") == "2024-02-03T00:00:00Z"
     with pytest.raises(ValueError):
         list(warc.parse_warc(b"HELLO/1.0\r\nA: b\r\n\r\n"))
+
+
+def test_members_inflate_in_proportion():
+    rng = random.Random(1)
+    body = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 10, 70_000]))) for _ in range(30)]
+    assert warc.inflated(b"".join(map(gz, body))) == b"".join(body) and warc.inflated(gz(b"a") + b"rest") == b"arest"
+
+    def seconds(n):
+        content = gz(bytes(rng.randrange(256) for _ in range(2000))) * n
+        start = time.process_time()
+        warc.inflated(content)
+        return time.process_time() - start
+
+    assert seconds(4000) < 12 * max(seconds(1000), 0.02)
+
+
+def test_damaged_archives(spark, tmp_path):
+    """One archive cut short: an error, or the records before the damage and all other archives."""
+    head = warc.arc_head("n", 1, warc.ARC_DATE)
+    record = [warc.arc_record("n", 1, warc.ARC_DATE, f"http://a/{k}", 0, warc.http_head(3, k) + b"abc") for k in range(3)]
+    (tmp_path / "a.gz").write_bytes(gz(head + record[0] + record[1][:-5]))
+    (tmp_path / "b.gz").write_bytes(gz(head) + gz(record[2]))
+    found = warc.read_arc(spark, str(tmp_path), strict=False)
+    assert sorted(r["page_id"] for r in found.collect()) == [0, 2]
+    with pytest.raises(Exception, match="declares"):
+        warc.read_arc(spark, str(tmp_path)).collect()
+
+
+def test_very_long_payload(spark):
+    table = spark.createDataFrame([(1, "http://a", "long " * 600_000), (2, "http://b", "x")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"]) for r in warc.convert_pages(table, chars=100_000).collect()}
+    assert got == {1: (3_000_000, "response"), 2: (1, "response")}

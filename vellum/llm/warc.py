@@ -8,7 +8,8 @@ a response; the others become revisits of it, without the payload.
 
 Archives are gzip files of bounded size in a folder that all executors share. Spark's
 own text sink writes them, one archive a row, and its binary source reads them, so no
-worker opens a path. The sink holds UTF-8, so payloads must be UTF-8 text.
+worker opens a path. The sink holds UTF-8, so payloads must be UTF-8 text, and compresses
+an archive as a whole; files of a member a record are read as well.
 
 Defined cases: a null payload is empty; a null or unprintable URL is escaped; a record
 without an id is never preferred as response; records that share the preferred id are
@@ -49,12 +50,16 @@ RECORD = "record_id string, url string, ip string, date string, kind string, med
 
 def inflated(content: bytes) -> bytes:
     """The bytes of a gzip file of any number of members; other content as it is."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
+    out, at, held = [], 0, memoryview(content)
+    while content[at : at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        out.append(member.decompress(content) + member.flush())
-        content = member.unused_data
-    return b"".join([*out, content])
+        # In pieces, so that what follows a member is not copied with each.
+        while not member.eof and at < len(content):
+            piece = held[at : at + 65_536]
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        out.append(member.flush())
+    return b"".join([*out, held[at:]])
 
 
 def arc_url(url: str | None) -> str:
@@ -106,6 +111,20 @@ def parse_arc(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = begin + size
 
 
+def _undamaged(records: Iterator, strict: bool) -> Iterator:
+    """The records; a damaged one is an error, or else the end of its archive."""
+    while True:
+        try:
+            record = next(records)
+        except StopIteration:
+            return
+        except (ValueError, KeyError, IndexError):
+            if strict:
+                raise
+            return
+        yield record
+
+
 def iso_date(digits: str) -> str:
     """14, 12 or 8 digits to an ISO timestamp."""
     d = digits.ljust(14, "0")
@@ -172,8 +191,11 @@ def _archive_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of ARC files as WARC fields (RECORD), the version blocks left out."""
+def read_arc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Records of ARC files as WARC fields (RECORD), the version blocks left out.
+
+    A damaged record fails the job; unless ``strict``, it ends its archive.
+    """
     import pyspark.sql.pandas.types as types
     from pyspark.sql.types import StructType
 
@@ -183,7 +205,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, name = [], ""
-                for offset, fields, block in parse_arc(inflated(content.as_py())):
+                for offset, fields, block in _undamaged(parse_arc(inflated(content.as_py())), strict):
                     url = fields["url"]
                     if warc_kind(url, block) == "warcinfo":
                         name = url
@@ -294,10 +316,11 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = begin + size
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """record_id, record_type, page_id, payload_bytes, payload_digest and refers_id of stored records.
 
     A response's length and digest come from its payload, and must agree with its headers.
+    A damaged record fails the job; unless ``strict``, it ends its archive.
     """
     columns = "record_id string, record_type string, page_id bigint, payload_bytes bigint, payload_digest string, refers_id string"
 
@@ -305,7 +328,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 ids, kinds, pages, sizes, digests, refers = [], [], [], [], [], []
-                for headers, block in parse_warc(inflated(content.as_py())):
+                for headers, block in _undamaged(parse_warc(inflated(content.as_py())), strict):
                     if headers["warc-type"] == "warcinfo":
                         continue
                     head, body = split_http(block)
