@@ -1,7 +1,10 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from vellum.llm import sharding
+from vellum.llm.queries import op4_interleave
 
 
 def test_shards_are_even_gapless_and_mixed(spark):
@@ -32,6 +35,28 @@ def test_order_matches_brute_force(spark):
         assert sorted(r["frac"] for r in got if r["source"] == s) == [(k + 0.5) / n for k in range(n)]
 
 
+def test_query_matches_brute_force(spark, tmp_path):
+    """Shard, slot and order of every row, with nulls, ties, repeated rows and a very long text."""
+    rows = [(i, f"t{i % 5}" if i % 9 else None, ["a", "b", None][i % 3]) for i in range(95)] + [(3, "t3", "a")] * 2 + [(None, "n", "b"), (400, "long " * 300_000, "c")]
+    table = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, size int")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    keys = {r["doc_id"]: r["k"] for r in table.select("doc_id", F.xxhash64(F.lit(sharding.SEED), "doc_id").alias("k")).collect()}
+    crc = lambda t: zlib.crc32((t or "").encode())
+    size = lambda t: len((t or "").encode()) + 16
+    line = sorted(rows, key=lambda r: (r[2] is None, r[2] or "", keys[r[0]], r[0] is not None, r[0] or 0, crc(r[1]), size(r[1])))
+    many, rank, order = Counter(r[2] for r in rows), Counter(), []
+    for at, r in enumerate(line):
+        order.append(((rank[r[2]] + 0.5) / many[r[2]], at, r))
+        rank[r[2]] += 1
+    n, used, want = len(rows), Counter(), []
+    for pos, (_, _, r) in enumerate(sorted(order, key=lambda x: x[:2])):
+        shard = pos * 40 // n
+        want.append((r[0], size(r[1]), crc(r[1]), "rows", shard, used[shard], None))
+        used[shard] += 1
+    got = [tuple(r[c] for c in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")) for r in op4_interleave(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_and_one_row(spark):
     docs = spark.createDataFrame([(None, None, None)], "doc_id long, text string, source string")
     assert [(r["shard"], r["slot"], r["size"], r["text_crc32"]) for r in sharding.interleave_shards(docs).collect()] == [(0, 0, 16, 0)]
