@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,21 @@ def audit_rows(log: DataFrame, kind: str = "document", user: str = "system", det
     )
 
 
+def append_quietly(rows: DataFrame, path: str) -> bool:
+    """Append audit rows; a failure is logged and told by False, but never stops the work that is audited."""
+    try:
+        rows.write.mode("append").parquet(path)
+        return True
+    except Exception:
+        logging.getLogger(__name__).exception("audit rows could not be written to %s", path)
+        return False
+
+
+def with_request_ids(requests: DataFrame) -> DataFrame:
+    """Requests with an id of their own, a new one each time."""
+    return requests.withColumn("request_id", F.uuid())
+
+
 def logged_requests(requests: DataFrame) -> DataFrame:
     """Requests but for static files and health checks, with their duration in milliseconds."""
     micros = F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))

@@ -83,7 +83,7 @@ def cache_ops_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("op_id"),
         F.col("event_type").alias("key"),
-        F.when(F.col("event_id") % 3 == 0, "put").otherwise("get").alias("op"),
+        F.when(F.col("event_id") % 3 == 0, "put").when(F.col("event_id") % 7 == 3, "delete").otherwise("get").alias("op"),
         "ts",
         F.col("value"),
         F.lit(TTL_S).alias("ttl_s"),
@@ -111,7 +111,7 @@ def changes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     yes, no = F.lit(True), F.lit(False)
     created = change(d, 1, "create", F.col("title"), F.col("content"), F.col("folder_id"), (yes, yes, yes), yes)
     patched = change(
-        d.filter(i % 4 == 0), 2, "patch", none("string"), F.concat(F.lit("v2: "), F.substring("content", 1, 1500)), none("int"), (no, yes, i % 8 == 0), none("boolean")
+        d.filter(i % 4 == 0), 2, "patch", none("string"), F.concat(F.lit("v2: "), F.col("content")), none("int"), (no, yes, i % 8 == 0), none("boolean")
     )
     deleted = change(d.filter(i % 11 == 10), 3, "delete", none("string"), none("string"), none("int"), (no, no, no), no)
     return created.unionByName(patched).unionByName(deleted)
@@ -122,5 +122,5 @@ def chunk_vectors_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read(spark, sf_dir, "embeddings")
         .join(d, F.col("vec_id") == F.col("id"))
-        .select("vec_id", F.col("id").alias("doc_id"), F.substring("content", 1, 1000).alias("page_content"), F.col("title").alias("source"), "embedding", "is_active")
+        .select("vec_id", F.col("id").alias("doc_id"), F.col("content").alias("page_content"), F.col("title").alias("source"), "embedding", "is_active")
     )

@@ -35,6 +35,14 @@ SYSTEM_LOGS = _table(
     ("status", _TEXT, True),
     ("error_message", _TEXT, True),
 )
+CHUNK_VECTORS = _table(
+    ("doc_id", _LONG, False),
+    ("chunk_no", _INT, False),
+    ("page_content", _TEXT, False),
+    ("headers", T.MapType(_TEXT, _TEXT), True),
+    ("source", _TEXT, True),
+    ("embedding", T.ArrayType(T.FloatType()), False),
+)
 #: Columns that responses carry.
 DOCUMENT_LIST = ["id", "title", "content", "folder_id", "created_at", "updated_at"]
 FOLDER_VIEW = ["id", "title", "parent_id"]

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .schemas import CHUNK_VECTORS
 
-def storage_uri(server: str | None, path: str, user: str = "", password: str = "", port: int = 5432, database: str = "") -> str:
-    """A folder of Parquet tables where no server, or the embedded one, is named; else a JDBC address."""
+
+def storage_uri(server: str | None, path: str, port: int = 5432, database: str = "") -> str:
+    """A folder of Parquet tables where no server, or the embedded one, is named; else a JDBC address, without credentials."""
     if not server or server == "sqlite":
         return path
-    return f"jdbc:postgresql://{server}:{port}/{database}?user={user}&password={password}"
+    return f"jdbc:postgresql://{server}:{port}/{database}"
 
 
-def open_table(spark: SparkSession, uri: str, table: str, schema: T.StructType | None = None) -> DataFrame:
+def open_table(
+    spark: SparkSession, uri: str, table: str, schema: T.StructType | None = None, user: str = "", password: str = "", split: tuple[str, int, int, int] | None = None
+) -> DataFrame:
+    """A stored table. ``split`` (column, lowest, highest, parts) lets as many tasks read a JDBC table."""
     if uri.startswith("jdbc:"):
-        return spark.read.format("jdbc").option("url", uri).option("dbtable", table).load()
+        reader = spark.read.format("jdbc").options(url=uri, dbtable=table, user=user, password=password)
+        if split:
+            column, low, high, parts = split
+            reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+        return reader.load()
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(f"{uri.rstrip('/')}/{table}")
 
 
+def open_vectors(spark: SparkSession, uri: str, table: str = "chunk_vectors") -> DataFrame:
+    """The vector store: chunks with their embeddings; made empty where it is missing."""
+    create_tables(spark, uri, {table: CHUNK_VECTORS})
+    return open_table(spark, uri, table, CHUNK_VECTORS)
+
+
 def create_tables(spark: SparkSession, uri: str, schemas: dict[str, T.StructType]) -> None:
     """Create the tables that are missing, empty."""
     for name, schema in schemas.items():
@@ -36,6 +51,31 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def write_batch(rows: DataFrame, path: str, number: int) -> None:
+    """One batch of a table, in a folder of its own that a second run replaces."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+#: Levels of log rows in ascending order.
+LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
+
+
+def at_least(logs: DataFrame, level: str, column: str = "level") -> DataFrame:
+    """Log rows of the level and above."""
+    return logs.filter(F.col(column).isin(*LEVELS[LEVELS.index(level) :]))
+
+
+def append_logs(logs: DataFrame, path: str, level: str = "DEBUG", ts: str = "ts") -> None:
+    """The file sink of logs: a folder a day, in bounded compressed files."""
+    rows = at_least(logs, level).withColumn("day", F.to_date(ts))
+    rows.write.mode("append").partitionBy("day").option("maxRecordsPerFile", 100_000).option("compression", "zstd").parquet(path)
+
+
+def retained(logs: DataFrame, now: Column, days: int = 10) -> DataFrame:
+    """Logs of the last days; whole day folders are skipped."""
+    return logs.filter(F.col("day") >= F.date_sub(F.to_date(now), days))
+
+
 def without_documents(chunks: DataFrame, doc_ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks but for those of the given documents; write the result to a new folder."""
     return chunks.join(doc_ids.select(key).distinct(), key, "left_anti")
