@@ -1,12 +1,15 @@
 """Every catalogue query against its SQL, over the synthetic tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from vellum.operators import models
 from vellum.plans import catalogue
+from vellum.sources import fixtures
 
 SF = os.environ.get("CATALOGUE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,8 +33,51 @@ def test_query_matches_sql(spark, name):
     assert rows_of([tuple(r[c] for c in columns) for r in got.collect()]) == rows_of([tuple(r[i] for i in pick) for r in want.fetchall()])
 
 
-def test_every_query_has_sql_but_the_splitter():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"chunks_markdown"}
+def test_every_query_has_sql_but_the_splitter_and_the_model():
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"chunks_markdown", "index_markdown", "chunk_embeddings"}
+
+
+def brute_split(text, size=1000, overlap=200):
+    """Chunks by indices: pieces [i, j) with the largest j that fits; the next i is the first whose tail is short enough."""
+
+    def pieces(part, separators):
+        if len(part) <= size:
+            return [part] if part else []
+        sep = next((s for s in separators if s in part), "")
+        if not sep:
+            return list(part)
+        found = re.split(f"(?={re.escape(sep)})", part)
+        return [p for f in found for p in pieces(f, separators[separators.index(sep) + 1 :])]
+
+    cut = pieces(text, ["\n\n", "\n", " "])
+    ends = [0]
+    for p in cut:
+        ends.append(ends[-1] + len(p))
+    out, i, j = [], 0, 0
+    while j < len(cut):
+        j = max(k for k in range(j + 1, len(cut) + 1) if k == j + 1 or ends[k] - ends[i] <= size)
+        out.append("".join(cut[i:j]).strip())
+        if j < len(cut):
+            i = next(k for k in range(i, j + 1) if k == j or (ends[j] - ends[k] <= overlap and ends[j + 1] - ends[k] <= size))
+    return [c for c in out if c]
+
+
+def test_markdown_queries_match_brute_force(spark):
+    """The texts have no headers, so a document's chunks are those of its text; each holds what the brute form holds."""
+    docs = {r["id"]: r for r in fixtures.documents_v(spark, SF).collect()}
+    want = sorted((i, n, c, "{}", r["title"]) for i, r in docs.items() for n, c in enumerate(brute_split(r["content"])))
+    got = entry.queries()["chunks_markdown"](spark, SF).collect()
+    assert sorted((r["doc_id"], r["chunk_no"], r["page_content"], r["headers"], r["source"]) for r in got) == want
+    last = {i: (2, f"v2: {r['content']}") if i % 4 == 0 else (1, r["content"]) for i, r in docs.items() if i % 11 != 10}
+    index = entry.queries()["index_markdown"](spark, SF).collect()
+    assert sorted((r["doc_id"], r["chunk_no"], r["page_content"], r["version"]) for r in index) == sorted((i, n, c, v) for i, (v, t) in last.items() for n, c in enumerate(brute_split(t)))
+
+
+def test_embeddings_match_the_model(spark):
+    client, chunks = models.StubModel(), entry.queries()["chunks_fixed"](spark, SF).collect()
+    want = sorted((r["doc_id"], r["chunk_no"], 64, round(client.embed(r["page_content"])[0], 4)) for r in chunks)
+    got = sorted(tuple(r[c] for c in ("doc_id", "chunk_no", "dim", "first")) for r in entry.queries()["chunk_embeddings"](spark, SF).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-4 for g, w in zip(got, want))
 
 
 def test_list_order(spark):
@@ -42,4 +88,4 @@ def test_list_order(spark):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 5
+    assert entry.entry(spark).count() == 10

@@ -1,6 +1,9 @@
 """Handmade cases that the synthetic tables don't hold."""
 
 import datetime as dt
+import http.server
+import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,8 +145,14 @@ def test_debounce_gaps(spark):
         rows = edits(spark, [0, 1, 3, 5.5, 5.5, 9, 60, 61, 63.5, 200], composing=(5,))
         both = [sorted((r["first_ts"], r["last_ts"], r["content"], r["n_edits"]) for r in d.collect()) for d in (temporal.debounced(rows), temporal.debounced_wide(rows, 2, bucket=bucket))]
         assert both[0] == both[1]
-    states = temporal.save_status(edits(spark, [0, 1, 30]), temporal.debounced(edits(spark, [0, 1]))).collect()
-    assert [r["status"] for r in states] == ["unsaved"]
+
+
+def test_save_states(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    saves = spark.createDataFrame([(1, at(10), at(12), True), (1, at(40), at(45), False)], "doc_id long, start_ts timestamp_ntz, end_ts timestamp_ntz, ok boolean")
+    rows = edits(spark, [0, 5, 30])
+    for now, want in ((3, "unsaved"), (10, "saving"), (12, "saved"), (31, "unsaved"), (41, "saving"), (45, "error"), (99, "error")):
+        assert [r["status"] for r in temporal.save_status(rows, saves, F.lit(at(now))).collect()] == [want], now
 
 
 OPS = [
@@ -157,8 +166,16 @@ OPS = [
     (7, "j", "get", 90, None, None),
     (8, "k", "put", 200_001, 4.0, 60),
     (9, "k", "get", 400_000, None, None),
+    (10, "d", "put", 10, 5.0, None),
+    (11, "d", "get", 90_000, None, None),
+    (12, "d", "delete", 90_001, None, None),
+    (13, "d", "get", 90_002, None, None),
+    (14, "d", "get", 190_002, None, None),
+    (15, "d", "put", 190_003, 6.0, 5),
+    (16, "d", "get", 190_004, None, None),
 ]
 SEEN = [(0, False, None), (2, True, 1.0), (3, False, None), (6, True, 3.0), (7, False, None), (9, False, None)]
+SEEN += [(11, True, 5.0), (13, False, None), (14, False, None), (16, True, 6.0)]
 OP_TYPE = "op_id long, key string, op string, ts timestamp_ntz, value double, ttl_s int"
 
 
@@ -199,6 +216,69 @@ def test_model_boundary(spark):
     assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-5 for r in vectors)
 
 
+class Failing(models.StubModel):
+    def complete(self, prompt):
+        raise OSError
+
+
+def test_failed_completions_are_empty(spark):
+    cursors = spark.createDataFrame([(1, "abc", "x")], "id long, prefix string, suffix string")
+    got = models.completions(cursors, Failing(), waits=()).collect()
+    assert [(r["completion"], r["status"]) for r in got] == [("", "error")]
+    asked = cursors.withColumn("prompt", F.col("prefix"))
+    assert [r["reply"] for r in models.with_replies(asked, Failing(), waits=()).collect()] == [models.APOLOGY]
+
+
+def test_answers_go_through_the_cache(spark):
+    now = F.lit(T0).cast("timestamp_ntz")
+    at = lambda s: T0 - dt.timedelta(seconds=s)
+    asked = spark.createDataFrame([(1, "a", "pa"), (2, "b", "pb"), (3, "c", "pc"), (4, "c", "pc"), (5, "d", "pd"), (6, "e", "pe")], "id long, cache_key string, prompt string")
+    rows = [("a", "put", at(3600), "old a", 3600), ("b", "put", at(3601), "old b", 3600), ("d", "put", at(9), "old d", None), ("e", "put", at(9), "old e", 99), ("e", "delete", at(8), None, None)]
+    cache = spark.createDataFrame(rows, "key string, op string, ts timestamp_ntz, value string, ttl_s int")
+    answers, puts = models.cached_answers(asked, cache, models.StubModel(), now)
+    stub = models.StubModel().complete
+    want = [(1, "old a", "cached"), (2, stub("pb"), "ok"), (3, stub("pc"), "ok"), (4, stub("pc"), "ok"), (5, "old d", "cached"), (6, stub("pe"), "ok")]
+    assert answers.columns == [*asked.columns, "reply", "status"] and sorted((r["id"], r["reply"], r["status"]) for r in answers.collect()) == want
+    assert sorted((r["key"], r["value"], r["ttl_s"]) for r in puts.collect()) == [("b", stub("pb"), 3600), ("c", stub("pc"), 3600), ("e", stub("pe"), 3600)]
+
+
+def test_completion_server():
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, body))
+            reply = {"/v1/embeddings": {"data": [{"embedding": [1.0, 2.0]}]}}.get(self.path) or {"p1": {"choices": [{"text": "one"}]}, "p2": {"choices": [], "content": "two"}}.get(body["prompt"], {})
+            raw = json.dumps(reply).encode()
+            self.send_response(500 if body.get("prompt") == "bad" else 200)
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = models.HttpModel(f"http://127.0.0.1:{server.server_port}/v1//", "m", stop=("x",))
+    assert [client.complete(p) for p in ("p1", "p2", "p3")] == ["one", "two", ""] and client.embed("t") == [1.0, 2.0]
+    assert seen[0] == ("/v1/completions", {"model": "m", "max_tokens": 24, "temperature": 0.1, "stop": ["x"], "stream": False, "prompt": "p1"})
+    with pytest.raises(OSError):
+        client.complete("bad")
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(OSError):
+        client.complete("p1")
+
+
+def test_queries_in_blocks(spark):
+    rows = [(i, [float(i * 37 % 101), float(i % 7)]) for i in range(80)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {(q, i, r + 1) for q, v in rows for r, (_, i) in enumerate(sorted(((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2, i) for i, w in rows if i != q)[:3])}
+    for block in (1000, 7):
+        assert {(r["query_id"], r["vec_id"], r["rank"]) for r in retrieval.nearest(corpus, corpus, block=block).collect()} == want
+
+
 def test_lookups(spark):
     folders = spark.createDataFrame([(1, "r", None, True), (2, "s", 1, False)], "id int, title string, parent_id int, is_active boolean")
     assert relational.one_or_none(relational.folder_by_id(folders, 2))["title"] == "s"
@@ -211,7 +291,8 @@ def test_lookups(spark):
 
 def test_store(spark, tmp_path):
     uri = store.storage_uri("sqlite", str(tmp_path))
-    assert uri == str(tmp_path) and store.storage_uri("db", "", "u", "p", database="w").startswith("jdbc:postgresql://db:5432/w")
+    assert uri == str(tmp_path) and store.storage_uri("db", "", database="w") == "jdbc:postgresql://db:5432/w"
+    assert store.open_vectors(spark, uri).columns == schemas.CHUNK_VECTORS.names
     store.create_tables(spark, uri, {"folders": schemas.FOLDERS})
     assert store.open_table(spark, uri, "folders", schemas.FOLDERS).count() == 0
     chunks = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, page_content string")
@@ -221,6 +302,22 @@ def test_store(spark, tmp_path):
     assert [r["doc_id"] for r in kept.collect()] == [2, 2]
 
 
+def test_logs(spark, tmp_path):
+    rows = [(T0 + dt.timedelta(days=d), level, f"{d} {level}") for d in range(12) for level in ("DEBUG", "INFO", "ERROR")]
+    logs = spark.createDataFrame(rows, "ts timestamp_ntz, level string, text string")
+    assert store.at_least(logs, "INFO").count() == 24
+    store.append_logs(logs, f"{tmp_path}/logs", "INFO")
+    held = store.retained(spark.read.parquet(f"{tmp_path}/logs"), F.lit(T0 + dt.timedelta(days=11)))
+    assert held.count() == 22 and "PartitionFilters: [isnotnull(day" in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_audit_never_stops_the_work(spark, tmp_path):
+    rows = spark.createDataFrame([(1,)], "id long")
+    (tmp_path / "file").write_text("in the way")
+    assert audit.append_quietly(rows, f"{tmp_path}/rows") and not audit.append_quietly(rows, f"{tmp_path}/file/rows")
+    assert audit.with_request_ids(spark.range(50)).select("request_id").distinct().count() == 50
+
+
 def test_requests(spark):
     rows = [(1, T0, T0 + dt.timedelta(milliseconds=1.5), "/documents/1"), (2, T0, T0, "/static/a"), (3, T0, T0, "/health"), (4, T0, T0, "/healthy")]
     got = audit.logged_requests(spark.createDataFrame(rows, "id long, start_ts timestamp_ntz, end_ts timestamp_ntz, url string")).collect()

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="synthetic tables are not here")
-PYTHON = {"chunks_markdown", "polish_text", "extend_text", "complete_text", "ask_plain", "rag_answer"}
+PYTHON = {"chunks_markdown", "polish_text", "extend_text", "complete_text", "ask_plain", "rag_answer", "rag_cache_fill", "index_markdown", "chunk_embeddings"}
 
 
 def plan(spark, name):

@@ -50,7 +50,9 @@ def without_overlap(text: Column, prefix: Column) -> Column:
     """The text without its longest head that the prefix ends with."""
     most = F.least(F.length(text), F.length(prefix))
     sizes = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(sizes, lambda n: F.left(text, n) == F.right(prefix, n))
+    # The first characters rule out nearly all sizes before whole ends are compared.
+    start = lambda n: F.left(text, F.least(n, F.lit(8))) == F.substring(prefix, F.length(prefix) - n + 1, F.least(n, F.lit(8)))
+    fits = F.filter(sizes, lambda n: start(n) & (F.left(text, n) == F.right(prefix, n)))
     return F.substring(text, F.coalesce(F.get(fits, F.lit(0)), F.lit(0)) + 1, F.length(text))
 
 

@@ -57,11 +57,4 @@ def index_rows(log: DataFrame, replace: bool = True, chunker=chunking.fixed_chun
         written = written.groupBy("id").agg(F.max_by(F.struct("title", "content", "version"), "version").alias("_w")).select("id", "_w.*")
     titles = latest(log).filter("is_active").select("id", F.col("title").alias("_title"))
     rows = written.join(titles, "id").withColumn("title", F.col("_title"))
-    if replace:
-        chunks = chunker(rows)
-        return chunks.join(rows.select(F.col("id").alias("doc_id"), "version"), "doc_id")
-    out = None
-    for (version,) in log.filter("content_set").select("version").distinct().orderBy("version").collect():
-        part = chunker(rows.filter(F.col("version") == version)).withColumn("version", F.lit(version))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return chunker(rows, carry=("version",))

@@ -96,35 +96,37 @@ def markdown_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list
     return found or [(chunk, {}) for chunk in split_text(text, size, overlap)]
 
 
-def chunk_documents(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, chunk_no, page_content, headers and source of all chunks of documents with content."""
+def chunk_documents(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, chunk_no, page_content, headers and source of all chunks of documents with content, and the columns to carry."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
-            ids, numbers, texts, names, titles = [], [], [], [], []
-            for i, title, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            ids, numbers, texts, names, titles, rows = [], [], [], [], [], []
+            for row, (i, title, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 for n, (chunk, headers) in enumerate(markdown_chunks(text, size, overlap)):
                     ids.append(i)
                     numbers.append(n)
                     texts.append(chunk)
                     names.append(list(headers.items()))
                     titles.append(title)
+                    rows.append(row)
+            carried = [batch.column(3 + c).take(pa.array(rows, pa.int64())) for c in range(len(carry))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(names, kind), pa.array(titles, pa.string())],
-                ["doc_id", "chunk_no", "page_content", "headers", "source"],
+                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(names, kind), pa.array(titles, pa.string()), *carried],
+                ["doc_id", "chunk_no", "page_content", "headers", "source", *carry],
             )
 
-    rows = documents.filter(F.col("content").isNotNull() & (F.col("content") != "")).select(F.col("id").cast("long"), "title", "content")
-    return rows.mapInArrow(cut, CHUNK)
+    rows = documents.filter(F.col("content").isNotNull() & (F.col("content") != "")).select(F.col("id").cast("long"), "title", "content", *carry)
+    return rows.mapInArrow(cut, ", ".join([CHUNK, *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
-def fixed_chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of fixed stride, native: doc_id, chunk_no, page_content, source."""
+def fixed_chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of fixed stride, native: doc_id, chunk_no, page_content, source, and the columns to carry."""
     starts = F.sequence(F.lit(1), F.greatest(F.length("content") - overlap, F.lit(1)), F.lit(size - overlap))
     rows = documents.filter(F.col("content").isNotNull() & (F.col("content") != ""))
-    return rows.select(F.col("id").alias("doc_id"), F.col("title").alias("source"), "content", F.posexplode(starts).alias("chunk_no", "_start")).select(
-        "doc_id", "chunk_no", F.substring("content", F.col("_start"), F.lit(size)).alias("page_content"), "source"
+    return rows.select(F.col("id").alias("doc_id"), F.col("title").alias("source"), "content", *carry, F.posexplode(starts).alias("chunk_no", "_start")).select(
+        "doc_id", "chunk_no", F.substring("content", F.col("_start"), F.lit(size)).alias("page_content"), "source", *carry
     )
 
 

@@ -73,7 +73,11 @@ def with_folder(documents: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def folder_paths(spark: SparkSession, folders: DataFrame, sep: str = "/") -> DataFrame:
-    """(id, path, depth) of every folder reachable from a root."""
+    """(id, path, depth) of every folder reachable from a root.
+
+    The tree is walked by a recursive query, under the session's limits of
+    spark.sql.cteRecursionLevelLimit levels and spark.sql.cteRecursionRowLimit rows.
+    """
     return spark.sql(
         """
         WITH RECURSIVE tree(id, path, depth) AS (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,13 +48,22 @@ def debounced_wide(edits: DataFrame, gap_s: float, key: str = "doc_id", order: s
     )
 
 
-def save_status(edits: DataFrame, saves: DataFrame, key: str = "doc_id") -> DataFrame:
-    """saved or unsaved per document, by whether an edit came after the last save."""
-    last_edit = edits.groupBy(key).agg(F.max("ts").alias("edit_ts"))
-    last_save = saves.groupBy(key).agg(F.max("last_ts").alias("save_ts"))
-    return last_edit.join(last_save, key, "left").withColumn(
-        "status", F.when(F.col("save_ts").isNotNull() & (F.col("edit_ts") <= F.col("save_ts")), "saved").otherwise("unsaved")
+def save_status(edits: DataFrame, saves: DataFrame, now: Column, key: str = "doc_id") -> DataFrame:
+    """The state of each edited document at ``now``.
+
+    ``saves`` has begin, end and outcome (start_ts, end_ts, ok) of every save. A document is
+    unsaved if an edit came after its last save began, else saving until that has ended,
+    then saved or, if it failed, error.
+    """
+    last_edit = edits.filter(F.col("ts") <= now).groupBy(key).agg(F.max("ts").alias("edit_ts"))
+    begun = saves.filter(F.col("start_ts") <= now).groupBy(key).agg(F.max(F.struct("start_ts", "end_ts", "ok")).alias("last"))
+    state = (
+        F.when(F.col("last").isNull() | (F.col("edit_ts") > F.col("last.start_ts")), "unsaved")
+        .when(now < F.col("last.end_ts"), "saving")
+        .when(F.col("last.ok"), "saved")
+        .otherwise("error")
     )
+    return last_edit.join(begun, key, "left").withColumn("status", state)
 
 
 def latest_per_key(requests: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -62,13 +71,23 @@ def latest_per_key(requests: DataFrame, key: str, order: str, value: str) -> Dat
     return requests.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
+def invalidations(log: DataFrame, key: str = "documents_list") -> DataFrame:
+    """Cache operations of a change log: every write to documents deletes their cached list.
+
+    Operations of changes are numbered below zero, so that reads of the same time come after.
+    """
+    return log.select(
+        (-(F.col("id") * 10 + F.col("version"))).cast("long").alias("op_id"), F.lit(key).alias("key"), F.lit("delete").alias("op"), "ts", F.lit(None).cast("double").alias("value"), F.lit(None).cast("int").alias("ttl_s")
+    )
+
+
 def ttl_reads(ops: DataFrame, bucket: str = "day") -> DataFrame:
-    """What each read sees: the key's last write before it, unless that has expired.
+    """What each read sees: the key's last write before it, unless that has expired or is a deletion.
 
     An as-of match in two levels: inside a key's time bucket by a window, and from one
     bucket to the next by the buckets' last writes, so a hot key spreads over tasks.
     """
-    write = F.when(F.col("op") == "put", F.struct("ts", "op_id", "value", "ttl_s"))
+    write = F.when(F.col("op").isin("put", "delete"), F.struct("ts", "op_id", "value", "ttl_s", "op"))
     cut = ops.withColumn("_b", F.date_trunc(bucket, F.col("ts")))
     inside = Window.partitionBy("key", "_b").orderBy("ts", "op_id").rowsBetween(Window.unboundedPreceding, -1)
     near = cut.withColumn("_near", F.last(write, ignorenulls=True).over(inside))
@@ -77,5 +96,5 @@ def ttl_reads(ops: DataFrame, bucket: str = "day") -> DataFrame:
     carried = ends.select(F.col("key").alias("_key"), F.col("_b").alias("_bucket"), F.last("_end", ignorenulls=True).over(before).alias("_far"))
     reads = near.filter("op = 'get'").join(carried, (F.col("key") == F.col("_key")) & (F.col("_b") == F.col("_bucket")))
     seen = F.coalesce("_near", "_far")
-    alive = seen.isNotNull() & (seen["ttl_s"].isNull() | (F.col("ts") <= seen["ts"] + F.make_dt_interval(secs=seen["ttl_s"].cast("decimal(18,6)"))))
+    alive = seen.isNotNull() & (seen["op"] == "put") & (seen["ttl_s"].isNull() | (F.col("ts") <= seen["ts"] + F.make_dt_interval(secs=seen["ttl_s"].cast("decimal(18,6)"))))
     return reads.select("op_id", "key", "ts", F.coalesce(alive, F.lit(False)).alias("hit"), F.when(alive, seen["value"]).alias("value"))

@@ -44,6 +44,8 @@ def _halves(docs: DataFrame) -> DataFrame:
 
 
 SHOWN = ["id", "title", "content", "folder_id"]
+#: The vectors that searches take as queries.
+ASKED = "vec_id % 50 = 0"
 _documents("doc_list", relational.document_list)
 _documents("doc_get", lambda d: relational.document_by_id(d, 7).select(*SHOWN))
 _documents("doc_missing", lambda d: relational.document_by_id(d, 10).select(*SHOWN))
@@ -158,15 +160,22 @@ def chat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def save_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves begin when a burst's gap has passed, take ten seconds an edit, and every fourth size of burst fails."""
     edits = S.edits_v(spark, sf_dir)
-    saves = temporal.debounced_wide(edits.filter(F.col("edit_id") % 5 != 0), 1800)
-    return temporal.save_status(edits, saves).select("doc_id", "status")
+    bursts = temporal.debounced_wide(edits, 1800)
+    begun = F.col("last_ts") + F.make_dt_interval(secs=F.lit(1800).cast("decimal(18,6)"))
+    ended = F.col("start_ts") + F.make_dt_interval(secs=(F.col("n_edits") * 10).cast("decimal(18,6)"))
+    saves = bursts.select("doc_id", begun.alias("start_ts"), "n_edits").select("doc_id", "start_ts", ended.alias("end_ts"), (F.col("n_edits") % 4 != 0).alias("ok"))
+    last = edits.agg(F.max("ts")).first()[0]
+    return temporal.save_status(edits, saves, F.lit(last).cast("timestamp_ntz")).select("doc_id", "status")
 
 
 @query
 def overlap_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", X.without_overlap(F.substring(text, 150, 100), F.substring(text, 1, 200)).alias("kept"))
+    """Each text's last two thirds behind its first two thirds."""
+    text, third = F.col("text"), F.floor(F.length("text") / 3).cast("int")
+    made, prefix = F.substring(text, third + 1, F.length("text")), F.left(text, third * 2)
+    return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", X.without_overlap(made, prefix).alias("kept"))
 
 
 @query
@@ -192,12 +201,12 @@ def ask_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = S.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return retrieval.nearest(vectors.filter("vec_id < 5"), vectors).select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
+    return retrieval.nearest(vectors.filter(ASKED), vectors).select("query_id", "vec_id", F.round("dist", 6).alias("dist"), "rank")
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = store.of_active_documents(S.chunk_vectors_v(spark, sf_dir).drop("is_active"), S.documents_v(spark, sf_dir))
-    asked = S.read(spark, sf_dir, "embeddings").filter("vec_id < 5").select("vec_id", "embedding")
+    asked = S.read(spark, sf_dir, "embeddings").filter(ASKED).select("vec_id", "embedding")
     found = retrieval.contexts(retrieval.nearest(asked, chunks))
     questions = found.select("query_id").withColumn("question", F.concat(F.lit("What is known about vector "), F.col("query_id").cast("string"), F.lit("?")))
     return retrieval.answer_prompts(found, questions)
@@ -209,10 +218,28 @@ def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contexts(spark, sf_dir).select("query_id", "context", shown.alias("sources"), F.size("sources").alias("n_sources"), "prompt")
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Answers and new cache rows; every fourth question is in the cache, and every eighth has expired there."""
+    asked = _contexts(spark, sf_dir).select("query_id", X.cache_key(F.col("question")).alias("cache_key"), "prompt")
+    number = F.col("query_id")
+    cache = asked.filter(number % 200 == 0).select(
+        F.col("cache_key").alias("key"),
+        F.lit("put").alias("op"),
+        (now() - F.make_dt_interval(secs=F.when(number % 400 == 0, 7200).otherwise(600).cast("decimal(18,6)"))).alias("ts"),
+        F.concat(F.lit("cached "), number.cast("string")).alias("value"),
+        F.lit(models.ANSWER_TTL_S).alias("ttl_s"),
+    )
+    return models.cached_answers(asked, cache, models.StubModel(), now())
+
+
 @query
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _contexts(spark, sf_dir).select("query_id", X.cache_key(F.col("question")).alias("cache_key"), "prompt")
-    return models.with_replies(asked, models.StubModel()).select("query_id", "cache_key", "reply", "status")
+    return _answers(spark, sf_dir)[0].select("query_id", "cache_key", "reply", "status")
+
+
+@query
+def rag_cache_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir)[1].withColumn("ts", D.iso(F.col("ts")))
 
 
 @query
@@ -236,9 +263,70 @@ def index_pile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.index_rows(S.changes_v(spark, sf_dir), replace=False)
 
 
+@query
+def index_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as it is kept in production: header sections cut recursively."""
+    return changes.index_rows(S.changes_v(spark, sf_dir), chunker=chunking.chunk_documents).withColumn("headers", F.to_json("headers"))
+
+
+@query
+def list_cache_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests for the cached document list see; every document change deletes it."""
+    events = S.read(spark, sf_dir, "events")
+    lists = events.select(
+        F.col("event_id").alias("op_id"),
+        F.lit("documents_list").alias("key"),
+        F.when(F.col("event_id") % 4 == 0, "put").otherwise("get").alias("op"),
+        "ts",
+        "value",
+        F.lit(300).alias("ttl_s"),
+    )
+    return temporal.ttl_reads(lists.unionByName(temporal.invalidations(S.changes_v(spark, sf_dir)))).drop("ts")
+
+
+@query
+def completion_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions that 250 ms of quiet after a keystroke start."""
+    keys = S.read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 4 / 8).cast("decimal(18,6)"))).alias("ts"), F.col("event_id").alias("edit_id"),
+        F.col("event_type").alias("content"), F.lit(False).alias("is_composing"),
+    )
+    bursts = temporal.debounced_wide(keys, 0.25, bucket="hour")
+    return bursts.select("doc_id", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("last_ts"), "content", "n_edits")
+
+
+@query
+def body_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies that hold a content or don't."""
+    body = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("content")))).otherwise(F.to_json(F.struct("role")))
+    return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", X.body_text(body, "content").alias("content"))
+
+
+@query
+def completion_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.when(F.col("page_id") % 3 == 0, F.lit(None)).when(F.col("page_id") % 3 == 1, F.concat("url", F.lit("//"))).otherwise(F.col("url"))
+    return S.read(spark, sf_dir, "pages").select("page_id", X.completion_url(base, "http://local/v1/completions").alias("address"))
+
+
+@query
+def date_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as text, naive or with an offset, shown in a zone."""
+    i, shown = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(i % 4 == 0, shown).when(i % 4 == 1, F.concat(shown, F.lit("Z"))).when(i % 4 == 2, F.concat(shown, F.lit("+02:00")))
+    return S.read(spark, sf_dir, "events").select("event_id", D.local_text(D.parsed_utc(text), "Asia/Shanghai").alias("shown"))
+
+
+@query
+def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the embeddings of the offline model."""
+    chunks = chunking.fixed_chunks(S.documents_v(spark, sf_dir)).drop("source")
+    return models.with_embeddings(chunks, models.StubModel()).select("doc_id", "chunk_no", F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first"))
+
+
 @query
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_rows(S.changes_v(spark, sf_dir)).withColumn("timestamp", D.iso(F.col("timestamp"))).drop("details")
+    log = S.changes_v(spark, sf_dir)
+    return audit.audit_rows(log, details=F.concat(F.lit("version "), F.col("version").cast("string"))).withColumn("timestamp", D.iso(F.col("timestamp")))
 
 
 @query
@@ -278,5 +366,5 @@ def completion_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def completion_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix = F.concat(F.lit("text\n```"), F.when(F.col("turn") % 2 == 0, "python\nx = 1").otherwise("sql\nSELECT 1"))
-    return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", X.completion_budget(prefix).alias("max_tokens"))
+    fence = F.when(F.col("turn") % 3 == 0, "\n```python\nx = 1").when(F.col("turn") % 3 == 1, "\n```sql\nSELECT 1").otherwise("")
+    return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", X.completion_budget(F.concat("text", fence)).alias("max_tokens"))
