@@ -80,6 +80,13 @@ def test_stock_phrase_in_many_items_is_bounded(monkeypatch):
     assert len(widest) > 5 and max(widest) <= 20_000
 
 
+def test_very_long_text():
+    item = " ".join(f"i{k}" for k in range(30))
+    index = decontam.SeedIndex([(1, item.encode()), (2, b"x")])
+    found = index.search([("y " * 300_000 + item).encode(), b"", ("y " * 300_000).encode()])
+    assert found.tolist() == [[0, 0, 300_000, 30, 30]]
+
+
 def test_empty_sides(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
