@@ -1,3 +1,4 @@
+import copy
 import math
 import random
 import zlib
@@ -86,6 +87,58 @@ def test_window_scoring_matches_one_by_one():
         assert abs(want - total) < 1e-3 * max(1, abs(want))
 
 
+def test_score_matches_brute_force(spark):
+    """Token by token, with words beyond the frequent ones and words that no training text has."""
+    docs = spark.createDataFrame([(i, t) for i, t in rows()], "doc_id long, text string").repartition(3)
+    train = docs.filter("doc_id < 200")
+    model, counts = lm.learn(train, hot_words=20)
+    assert len(model.symbol) < 25
+    seen = Counter(w for i, t in rows() if i is not None and i < 200 for w in tokens(t))
+    net, size, h = model.network, len(model.symbol), lm.HIDDEN
+    for k in range(lm.RESTS):
+        own = sum(n + 1 for w, n in seen.items() if w and w not in model.symbol and lm.rest_class(w) == k)
+        assert model.rest_share[k] == own + 1, "the shares of a class and one for unseen words"
+    want = []
+    for i, text in rows():
+        state, before, total = np.zeros(h), model.end, 0.0
+        for w in tokens(text):
+            s = model.symbol.get(w, size + lm.rest_class(w))
+            x = net.p["in"][before] @ net.p["wx"] + net.p["bx"]
+            q = state @ net.p["wh"]
+            gates = 1 / (1 + np.exp(-(x[: 2 * h] + q[: 2 * h])))
+            state = (1 - gates[h:]) * np.tanh(x[2 * h :] + gates[:h] * q[2 * h :]) + gates[h:] * state
+            total += net.log_probs(state[None].astype(np.float32), np.array([s]))[0] / math.log(10)
+            if s >= size:
+                total += math.log10((seen[w] + 1) / model.rest_share[s - size])
+            before = s
+        base = sum(math.log10((seen[w] + 1) / (sum(seen.values()) + len(seen) + 1)) for w in tokens(text))
+        want.append((str(i), len(tokens(text)), sum(seen[w] > 0 for w in tokens(text)), base, total))
+    got = sorted((str(r["id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in lm.score_documents(docs, model, counts).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    for g, w in zip(got, sorted(want)):
+        assert np.allclose(g[3:], w[3:], rtol=1e-3, atol=1e-3)
+
+
+def test_rounds_average_the_copies_of_all_partitions(spark):
+    model = small_model()
+    texts = [("a b " * 40,), ("c a d " * 30,), (None,), ("b " * 200,)]
+    docs = spark.createDataFrame(texts, "text string").repartition(3)
+    start = lm._flat(model.network)
+    copies, weight = [], []
+    for part in docs.rdd.glom().collect():
+        held = [model.symbols(lm.lower_words((r["text"] or "").encode())) for r in part]
+        if held:
+            net = copy.deepcopy(model.network)
+            trainer = lm.Trainer(net)
+            trainer.run(held, model.end, lm.ROUND_STREAMS, lambda _: lm.ROUND_RATE)
+            copies.append(lm._flat(net))
+            weight.append(trainer.tokens)
+    assert lm.train_round(docs, model) and len(copies) > 1 and sum(weight) == sum(len(tokens(t)) for (t,) in texts)
+    got = lm._flat(model.network)
+    assert np.allclose(got, np.average(copies, axis=0, weights=weight), atol=1e-5) and not np.allclose(got, start, atol=1e-5)
+    assert not lm.train_round(docs.limit(0), model) and (lm._flat(model.network) == got).all()
+
+
 def test_gradients():
     net = small_model().network
     for k in net.p:
