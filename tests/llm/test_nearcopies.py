@@ -69,18 +69,37 @@ def test_near_copies_share_a_key():
         texts += [" ".join(words).encode(), " ".join(copy).encode()]
     held = nearcopies._split(nearcopies.shingle_sets(texts, 5))
     fps = nearcopies.set_fingerprints(nearcopies.shingle_sets(texts, nearcopies.FEATURE))
-    place, mark = nearcopies.key_marks(fps, np.array([len(s) for s in held]), simhash.Golay())
-    by = [mark[place == k] for k in range(len(texts))]
+    place, key, mark = nearcopies.key_marks(fps, np.array([len(s) for s in held]))
+    order = np.lexsort((place, key))
+    place, key, mark = place[order], key[order], mark[order]
+    left, right, root = nearcopies.cluster_pairs(key, mark, simhash.Golay(), 16)
+    assert (key[left] == key[right]).all() and (root == -1).all(), "no large cluster here"
+    found = set(zip(np.minimum(place[left], place[right]).tolist(), np.maximum(place[left], place[right]).tolist()))
     due = met = 0
     for a in range(0, len(texts), 2):
         s, t = held[a], held[a + 1]
         if nearcopies.similar(len(np.intersect1d(s, t)), len(s), len(t)):
             due += 1
-            both = (by[a][:, None] >> 31 == by[a + 1][None, :] >> 31) & nearcopies.candidates(by[a][:, None], by[a + 1][None, :])
-            met += both.any()
+            met += (a, a + 1) in found
     assert due > 200 and met >= 0.97 * due
 
 
+def test_clusters_hold_every_candidate_pair():
+    """Pairs of small clusters and members of large ones against all pairs of rows."""
+    rng, golay = np.random.default_rng(5), simhash.Golay()
+    middle = rng.integers(0, 1 << 55, 12)
+    flip = lambda n: sum(1 << int(b) for b in rng.choice(np.arange(7, 55), n, replace=False))
+    mark = np.array([int(middle[k % 12 if k % 3 else 0]) ^ flip(int(rng.integers(0, 8))) for k in range(400)])
+    key = np.sort(rng.integers(0, 4, 400))
+    place, index = golay.indices(mark >> 32)
+    own = [set(index[place == k].tolist()) for k in range(400)]
+    want = {(i, j) for i, j in combinations(range(400), 2) if key[i] == key[j] and own[i] & own[j] and nearcopies.candidates(mark[i], mark[j])}
+    left, right, root = nearcopies.cluster_pairs(key, mark, golay, 4)
+    found = set(zip(np.minimum(left, right).tolist(), np.maximum(left, right).tolist()))
+    assert found <= want and all((i, j) in found or root[i] == root[j] >= 0 for i, j in want) and found and (root >= 0).any()
+    assert len(found) <= 4 * 400 and all(key[root[k]] == key[k] for k in range(400) if root[k] >= 0)
+
+
 def test_shingle_sets_match_brute_force():
     texts = [t.encode() if t else b"" for t in _texts()]
     for size in (2, 5):

@@ -2,14 +2,15 @@
 
 Every text gets ``VARIANTS`` fingerprints of independent hashes over its distinct words,
 which a replaced word disturbs less than it does shingles, and the Golay keys of each (see
-simhash): an equal segment and a codeword index near the bits behind it. Texts that
-share any key meet in its bucket. Those whose remaining bits differ in ``REST_BITS`` at
-most, and whose set sizes allow the similarity, are candidates, and every candidate is
-held against the sets themselves, so no link is below the threshold.
+simhash): an equal segment and a codeword index near the bits behind it. Rows travel by
+segment, once for each, and meet by index where they arrive. Texts that share a key, whose
+remaining bits differ in ``REST_BITS`` at most and whose set sizes allow the similarity are
+candidates, and every candidate is held against the sets themselves, so no link is below
+the threshold.
 
-Texts of one set are one node. Buckets of up to ``PAIR_ROWS`` nodes give their candidate
-pairs, which meet their sets by join; of larger buckets the sets travel with the keys, and
-the bucket gives a spanning forest of its verified links, not its pairs.
+Texts of one set are one node. Candidates of one segment make up clusters. A cluster of up
+to ``PAIR_ROWS`` nodes gives its pairs, which meet their sets by join; to a larger one the
+sets travel, and it gives a spanning forest of its verified links, not its pairs.
 
 Defined cases: a text of fewer than five words has all of them as its one shingle; null and
 wordless texts are copies of each other; rows without an id stay; rows that repeat an id are
@@ -30,13 +31,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bytes_of, lookup, lower_words, pinned, slices
 from .components import connected_components
-from .simhash import SEED, Golay, bucket_keys, majority, remixed
+from .simhash import SEED, Golay, lowest, majority, remixed
 
 SHINGLE, FEATURE = 5, 1
 VARIANTS = 8
-#: Bits outside the key, of 24, in which candidates may differ.
+#: Bits outside the key, of 25, in which candidates may differ.
 REST_BITS = 7
-#: Nodes of a bucket that meet pair by pair.
+#: Nodes of a cluster that meet pair by pair.
 PAIR_ROWS = 16
 #: Words whose hashes a worker holds.
 CODES = 1_000_000
@@ -102,25 +103,26 @@ def size_code(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log(np.maximum(n, 1)) / 0.11, 127).astype(np.int64)
 
 
-def key_marks(fps: np.ndarray, size: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place, mark) over all keys of the fingerprints (a row of variants each).
+def key_marks(fps: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, keys and marks over all segments of the fingerprints (a row of variants each).
 
-    A mark is a key of 33 bits, 24 bits of the fingerprint outside the key, and the size code.
+    A key names variant and segment and holds the segment's 16 bits. A mark has the 23 bits
+    behind it, which are decoded, the 25 others and the size code.
     """
-    places, marks = [], []
+    keys, marks = [], []
     for v in range(fps.shape[1]):
-        place, key = bucket_keys(fps[:, v], golay)
-        turn = ((16 * (key >> 28) + 39) % 64).astype(np.uint64)
-        rest = (fps[place, v] >> turn) | (fps[place, v] << (np.uint64(64) - turn))
-        held = (rest & np.uint64(0xFFFFFF)).astype(np.int64)
-        places.append(place)
-        marks.append((((np.int64(v) << 30) | key) << 31) | (held << 7) | size_code(size[place]))
-    return np.concatenate(places), np.concatenate(marks)
+        for i in range(4):
+            parts = np.ascontiguousarray(fps[:, v]).view(np.uint16).reshape(-1, 4)
+            turned = np.ascontiguousarray(np.roll(parts, -i, axis=1)).view(np.uint64).ravel()
+            keys.append((v << 18 | i << 16) | (turned & np.uint64(0xFFFF)).astype(np.int64))
+            word, rest = (turned >> np.uint64(16) & np.uint64(0x7FFFFF)).astype(np.int64), (turned >> np.uint64(39)).astype(np.int64)
+            marks.append(word << 32 | rest << 7 | size_code(size))
+    return np.tile(np.arange(len(fps)), 4 * fps.shape[1]), np.concatenate(keys), np.concatenate(marks)
 
 
 def candidates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether marks of one key are near each other beyond it."""
-    return (np.bitwise_count((a ^ b) >> 7 & 0xFFFFFF) <= REST_BITS) & (np.abs((a & 127) - (b & 127)) <= 3)
+    return (np.bitwise_count((a ^ b) >> 7 & 0x1FFFFFF) <= REST_BITS) & (np.abs((a & 127) - (b & 127)) <= 3)
 
 
 def similar(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -152,29 +154,25 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(mark, node) of all keys of nodes (node, size, fps)."""
-    golay = Golay()
+    """(key, node, mark) of all segments of nodes (node, size, fps)."""
     for batch in slices(batches, 4096):
         node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         fps = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, VARIANTS)
         full = np.flatnonzero(size > 0)
         if len(full):
-            place, mark = key_marks(fps, size[full], golay)
-            yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(node[full][place])], ["mark", "node"])
+            place, key, mark = key_marks(fps, size[full])
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(node[full][place]), pa.array(mark)], ["key", "node", "mark"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[tuple[list[np.ndarray], pa.Array | None]]:
-    """Batches sorted by their first column, (key, node[, set]), cut so that runs of a key stay whole.
-
-    The key is the first column without its last ``shift`` bits.
-    """
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Batches sorted by their first column, (key, node, more), cut so that runs of a key stay whole."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(0).to_numpy() >> shift
+        key = batch.column(0).to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
-        if held and (cut or held[0].column(0)[0].as_py() >> shift != key[0]):
+        if held and (cut or held[0].column(0)[0].as_py() != key[0]):
             if cut:
                 yield from _columns([*held, batch.slice(0, cut)])
             else:
@@ -189,10 +187,9 @@ def _runs(batches: Iterator[pa.RecordBatch], shift: int = 0) -> Iterator[tuple[l
         yield from _columns(held)
 
 
-def _columns(held: list[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], pa.Array | None]]:
+def _columns(held: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
     table = pa.Table.from_batches(held).combine_chunks()
-    sets = bytes_of(table.column(2)) if table.num_columns > 2 else None
-    yield [table.column(i).to_numpy() for i in range(2)], sets
+    yield table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks()
 
 
 def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,26 +208,60 @@ def _near_any(mark: np.ndarray) -> np.ndarray:
     return out
 
 
+def cluster_pairs(key: np.ndarray, mark: np.ndarray, golay: Golay, pair_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key: candidate pairs (a, b) of small clusters, and the first row of its cluster for every row of a large one, else -1."""
+    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    alone = np.bincount(run)[run] == 1
+    place, index = golay.indices(mark >> 32)
+    kept = ~alone[place]
+    place, met = place[kept], run[place[kept]] << 12 | index[kept]
+    order = np.argsort(met, kind="stable")
+    place, met = place[order], met[order]
+    none = np.zeros(0, np.int64)
+    if not len(place):
+        return none, none, np.full(len(key), -1)
+    cuts, size = _cuts(met)
+    many = np.repeat(size, size)
+    left, right = [none], [none]
+    for step in range(1, pair_rows):
+        at = np.flatnonzero((many > step) & (many <= pair_rows))
+        at = at[at + step < len(met)]
+        at = at[met[at] == met[at + step]]
+        if not len(at):
+            break
+        at = at[candidates(mark[place[at]], mark[place[at + step]])]
+        left.append(place[at])
+        right.append(place[at + step])
+    a, b = np.concatenate(left), np.concatenate(right)
+    # All of a large bucket that have a candidate are one cluster.
+    tied, wide = [], np.zeros(len(key), bool)
+    for c, n in zip(cuts[size > pair_rows], size[size > pair_rows]):
+        part = place[c : c + n]
+        part = part[_near_any(mark[part])]
+        wide[part] = True
+        tied.append(np.stack([np.full(len(part), part[0]), part]) if len(part) else np.zeros((2, 0), np.int64))
+    ends = np.concatenate([np.stack([a, b]), *tied], axis=1)
+    root = lowest(ends[0], ends[1], len(key))
+    large = np.bincount(root, minlength=len(key)) > pair_rows
+    large[root[wide]] = True
+    small = ~large[root[a]]
+    pairs = np.unique(a[small] * len(key) + b[small])
+    return pairs // len(key), pairs % len(key), np.where(large[root], root, -1)
+
+
 def _meet(pair_rows: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (key, a, b) of small buckets; the nodes (key, a, null) of large ones that have a candidate."""
-        for (mark, node), _ in _runs(batches, 31):
-            key = mark >> 31
-            cuts, size = _cuts(key)
-            run = np.repeat(size, size)
-            for c, n in zip(cuts[size > pair_rows], size[size > pair_rows]):
-                held = np.arange(c, c + n)[_near_any(mark[c : c + n])]
-                if len(held):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[held]), pa.array(node[held]), pa.nulls(len(held), pa.int64())], ["key", "a", "b"])
-            for step in range(1, pair_rows):
-                at = np.flatnonzero((run > step) & (run <= pair_rows))
-                at = at[at + step < len(key)]
-                at = at[key[at] == key[at + step]]
-                if not len(at):
-                    break
-                at = at[candidates(mark[at], mark[at + step])]
-                a, b = np.minimum(node[at], node[at + step]), np.maximum(node[at], node[at + step])
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(a), pa.array(b)], ["key", "a", "b"])
+        """Pairs (null, a, b) of small clusters; the nodes (cluster, a, null) of large ones."""
+        golay = Golay()
+        for key, node, more in _runs(batches):
+            key = key.astype(np.int64)
+            left, right, root = cluster_pairs(key, more.to_numpy(), golay, pair_rows)
+            a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["key", "a", "b"])
+            held = np.flatnonzero(root >= 0)
+            # A cluster is named by its key and the place of its first row in the key's run.
+            name = key[held] << 40 | (root[held] - np.searchsorted(key, key[held]))
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(node[held]), pa.nulls(len(held), pa.int64())], ["key", "a", "b"])
 
     return meet
 
@@ -273,7 +304,8 @@ def forest(sets: list[np.ndarray], node: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (key, node), held in _runs(batches):
+    for key, node, more in _runs(batches):
+        held = bytes_of(more)
         for cut, n in zip(*_cuts(key)):
             links = forest([np.frombuffer(s.as_py(), np.uint64) for s in held.slice(cut, n)], node[cut : cut + n])
             a, b = (np.array(x, dtype=np.int64) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
@@ -283,8 +315,8 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, pair_rows: int) -> DataFrame:
     """Verified links (a, b) between nodes that connect all that candidates connect."""
     nodes = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps"))
-    keys = nodes.select("node", "size", "fps").mapInArrow(_keyed, "mark bigint, node bigint")
-    keys = keys.repartition(F.shiftright("mark", 31)).sortWithinPartitions("mark")
+    keys = nodes.select("node", "size", "fps").mapInArrow(_keyed, "key int, node bigint, mark bigint")
+    keys = keys.repartition("key").sortWithinPartitions("key", "node")
     met = pinned(keys.mapInArrow(_meet(pair_rows), "key bigint, a bigint, b bigint"))
     pairs = pinned(met.filter("b IS NOT NULL").select("a", "b").distinct())
     large = met.filter("b IS NULL").select("key", F.col("a").alias("node"))
@@ -317,26 +349,25 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marks = pinned(_marks(docs, id_col, text_col))
     roots = connected_components(_links(docs, marks, id_col, text_col, pair_rows)).select(F.col("node").alias("_n"), "root")
     rows = pinned(marks.select("id", "node").join(lookup(roots), F.col("node") == F.col("_n"), "left").select("id", "node", F.coalesce("root", "node").alias("root")))
-    first = rows.groupBy("root").agg(F.min(F.struct("id", "node")).alias("first")).select(F.col("first.id").alias("_keep"), F.col("first.node").alias("_kept"))
-    first = pinned(first)
+    kept = pinned(rows.groupBy("root").agg(F.min(F.struct("id", "node")).alias("first")).select("root", F.col("first.id").alias("_keep"), F.col("first.node").alias("_kept")))
     again = lookup(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_again")))
-    nameless = docs.filter(docs[id_col].isNull())
+    # Those that go are fewer than those that stay, so the texts seldom have to be shuffled.
+    going = rows.join(kept, "root").filter((F.col("id") != F.col("_keep")) | (F.col("node") != F.col("_kept"))).select(F.col("id").alias("_gone")).distinct()
     if again.isEmpty():
-        staying = docs.join(first, docs[id_col] == first["_keep"], "left_semi")
-    else:
-        single = pinned(first.join(again, F.col("_keep") == F.col("_again"), "left_anti"))
-        staying = docs.join(single, docs[id_col] == single["_keep"], "left_semi")
-        # A name that no column of the rows has.
-        own = "_" * (max(map(len, docs.columns)) + 1)
-        shape = StructType([*docs.schema.fields, StructField(own, LongType())])
-        text = docs.columns.index(text_col)
-
-        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 256):
-                node = [set_node(s) for s in _split(shingle_sets(bytes_of(batch.column(text)).to_pylist(), SHINGLE))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, own])
-
-        told = docs.join(again, docs[id_col] == again["_again"], "left_semi").mapInArrow(tell, shape)
-        told = told.join(first, (told[id_col] == first["_keep"]) & (told[own] == first["_kept"]), "left_semi")
-        staying = staying.unionByName(told.dropDuplicates([id_col, own]).drop(own))
-    return staying if nameless.isEmpty() else staying.unionByName(nameless)
+        gone = lookup(going)
+        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = lookup(going.union(again).distinct())
+    staying = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    # A name that no column of the rows has.
+    own = "_" * (max(map(len, docs.columns)) + 1)
+    shape = StructType([*docs.schema.fields, StructField(own, LongType())])
+    text = docs.columns.index(text_col)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            node = [set_node(s) for s in _split(shingle_sets(bytes_of(batch.column(text)).to_pylist(), SHINGLE))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, own])
+
+    told = docs.join(again, docs[id_col] == again["_again"], "left_semi").mapInArrow(tell, shape)
+    told = told.join(kept, (told[id_col] == kept["_keep"]) & (told[own] == kept["_kept"]), "left_semi")
+    return staying.unionByName(told.dropDuplicates([id_col, own]).drop(own))

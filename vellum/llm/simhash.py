@@ -185,6 +185,18 @@ def _forest(fp: np.ndarray, node: np.ndarray, bits: int) -> list[tuple[int, int]
     return links
 
 
+def lowest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of n places that links (left, right) connect with each."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[left], root[right])
+        if (root[left] == low).all() and (root[right] == low).all():
+            return root
+        np.minimum.at(root, left, low)
+        np.minimum.at(root, right, low)
+        root = root[root]
+
+
 def bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links of every row to the first of its component inside a run of equal keys: at most one a row.
 
@@ -207,15 +219,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int =
             x, y = zip(*links)
             a.append(np.array(x))
             b.append(np.array(y))
-    left, right = np.concatenate(a), np.concatenate(b)
-    root = np.arange(len(key))
-    while True:
-        low = np.minimum(root[left], root[right])
-        if (root[left] == low).all() and (root[right] == low).all():
-            break
-        np.minimum.at(root, left, low)
-        np.minimum.at(root, right, low)
-        root = root[root]
+    root = lowest(np.concatenate(a), np.concatenate(b), len(key))
     moved = np.flatnonzero(root != np.arange(len(key)))
     return node[root[moved]], node[moved]
 
