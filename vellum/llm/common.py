@@ -172,10 +172,12 @@ def bounded_sample(df: DataFrame, keys: list[str], rows: int, size: int, seed: i
     hashes are gathered.
     """
     unit = F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    part = F.col(by) if by else F.lit(0)
-    marked = df.withColumn("_unit", unit).withColumn("_by", part)
-    shares = lookup(marked.groupBy("_by").agg((F.lit(2.0 * rows) / F.count("*")).alias("_share")).withColumnRenamed("_by", "_of"))
-    near = marked.join(shares, F.col("_by").eqNullSafe(F.col("_of"))).filter(F.col("_unit") < F.col("_share")).drop("_of", "_share")
+    marked = df.withColumn("_unit", unit).withColumn("_by", F.col(by) if by else F.lit(0))
+    if by:
+        shares = lookup(marked.groupBy(F.col("_by").alias("_of")).agg((F.lit(2.0 * rows) / F.count("*")).alias("_share")))
+        near = marked.join(shares, F.col("_by").eqNullSafe(F.col("_of"))).filter(F.col("_unit") < F.col("_share")).drop("_of", "_share")
+    else:
+        near = marked.filter(F.col("_unit") < F.lit(2.0 * rows / max(df.select(F.lit(1)).count(), 1)))
     taken = F.sum(F.coalesce(F.octet_length(text), F.lit(0))) if text else F.lit(0)
     last: dict = {}
     left_out = []

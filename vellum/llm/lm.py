@@ -62,6 +62,33 @@ def rest_class(word: bytes) -> int:
     return zlib.crc32(word[:HEAD]) % RESTS
 
 
+def _with_bias(weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights with the bias as their last row, and whether logits may be large; for one matrix or a stack of them.
+
+    States lie within one, so a bound on the logits follows from the weights.
+    """
+    large = (np.abs(weight).sum(-2) + bias).max(-1) > 60
+    return np.concatenate([weight, bias[..., None, :]], axis=-2), large
+
+
+def _exponents(states: np.ndarray, weight: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits less a shift common to a row, their sums, and the logs of the sums without the shift.
+
+    ``states`` end with a one for the bias. Only where logits may be large are they shifted, by the rows' own maxima.
+    """
+    x = states @ weight
+    shift = x.max(1) if large else np.zeros(1, x.dtype)
+    if large:
+        x -= shift[:, None]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return x, total, np.log(total) + shift
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+
+
 class Network:
     """One gated recurrent layer with class-factored outputs.
 
@@ -125,37 +152,49 @@ class Network:
             state *= g[h:]
             state += n
         r, z = gates[:, :h], gates[:, h:]
-        flat, want = states.transpose(0, 2, 1).reshape(-1, h), targets.ravel()
+        flat, want = _with_one(states.transpose(0, 2, 1).reshape(-1, h)), targets.ravel()
         weight = (live.ravel() / max(live.sum(), 1)).astype(kind)
-        cls, every = self.class_of(want), np.arange(len(want))
-        dc = flat @ p["oc"]
-        dc += p["bc"]
-        dc -= dc.max(1, keepdims=True)
-        own = dc[every, cls]
-        np.exp(dc, out=dc)
-        total = dc.sum(1)
-        loss = ((np.log(total) - own) * weight).sum()
-        dc *= (weight / total)[:, None]
-        dc[every, cls] -= weight
-        grad = {"oc": flat.T @ dc, "bc": dc.sum(0), "ow": np.zeros_like(p["ow"]), "bw": np.zeros_like(p["bw"])}
-        d_flat = dc @ p["oc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[c] : cuts[c + 1]]
-            at, part, share = every[: len(rows)], flat[rows], weight[rows]
-            place = want[rows] - c * CLASS_SIZE
-            dw = part @ p["ow"][c]
-            dw += p["bw"][c]
-            dw -= dw.max(1, keepdims=True)
-            own = dw[at, place]
-            np.exp(dw, out=dw)
-            total = dw.sum(1)
-            loss += ((np.log(total) - own) * share).sum()
-            dw *= (share / total)[:, None]
-            dw[at, place] -= share
-            grad["ow"][c], grad["bw"][c] = part.T @ dw, dw.sum(0)
-            d_flat[rows] += dw @ p["ow"][c].T
+        cls = self.class_of(want)
+        # The gradient of logits is the softmax less one at the target. The two are taken apart:
+        # the softmax is neither scaled nor changed in place, and what targets pull at is summed
+        # by symbol over rows that are sorted by it, so that classes are slices.
+        by = np.argsort(want.astype(np.int16), kind="stable")
+        flat, want, cls, weight = flat[by], want[by], cls[by], weight[by]
+        pulled = flat * weight[:, None]
+        out, large = _with_bias(p["oc"], p["bc"])
+        e, total, log_total = _exponents(flat, out, large)
+        loss = ((log_total - (flat * out.T[cls]).sum(1)) * weight).sum()
+        share = (weight / total)[:, None]
+        g_out = (flat * share).T @ e
+        d_flat = share * (e @ p["oc"].T) - weight[:, None] * p["oc"].T[cls]
+        cuts = np.searchsorted(cls, np.arange(self.classes + RESTS + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        g_out[:, full] -= np.add.reduceat(pulled, cuts[full], axis=0).T
+        stack, wide = _with_bias(p["ow"], p["bw"])
+        g_stack, words = np.zeros_like(stack), full[full < self.classes]
+        for c in words:
+            rows = slice(cuts[c], cuts[c + 1])
+            part = flat[rows]
+            e, total, log_total = _exponents(part, stack[c], wide[c])
+            loss += (log_total * weight[rows]).sum()
+            share = (weight[rows] / total)[:, None]
+            np.matmul((part * share).T, e, out=g_stack[c])
+            d_flat[rows] += share * (e @ p["ow"][c].T)
+        known = int(cuts[self.classes])
+        if known:
+            flat, want, weight, pulled = flat[:known], want[:known], weight[:known], pulled[:known]
+            turned = np.ascontiguousarray(stack.transpose(0, 2, 1)).reshape(-1, h + 1)
+            asked = turned[want]
+            loss -= ((flat * asked).sum(1) * weight).sum()
+            d_flat[:known] -= weight[:, None] * asked[:, :h]
+            first = np.flatnonzero(np.concatenate([[True], want[1:] != want[:-1]]))
+            turned = np.zeros_like(turned)
+            turned[want[first]] = np.add.reduceat(pulled, first, axis=0)
+            g_stack -= turned.reshape(-1, CLASS_SIZE, h + 1).transpose(0, 2, 1)
+        grad = {"oc": g_out[:h], "bc": g_out[h], "ow": np.ascontiguousarray(g_stack[:, :h]), "bw": np.ascontiguousarray(g_stack[:, h])}
+        back = np.empty_like(d_flat)
+        back[by] = d_flat
+        d_flat = back
         d_states = np.ascontiguousarray(d_flat.reshape(t, b, h).transpose(0, 2, 1))
         to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), q3 * r * (1 - r)
         dq, d_new, d_state = np.empty((t, 3 * h, b), kind), np.empty((t, h, b), kind), np.zeros((h, b), kind)
@@ -174,35 +213,32 @@ class Network:
         dp = rows(dq)
         grad["wx"], grad["bx"] = x.T @ dp, dp.sum(0)
         # Gradients of equal inputs are summed by sorting, which beats adding them one by one.
-        d_in = (dp @ p["wx"].T)[order_in := np.argsort(inputs.ravel(), kind="stable")]
-        used, first = np.unique(inputs.ravel()[order_in], return_index=True)
+        by = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+        read = inputs.ravel()[by]
+        first = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
         grad["in"] = np.zeros_like(p["in"])
-        grad["in"][used] = np.add.reduceat(d_in, first, axis=0)
+        grad["in"][read[first]] = np.add.reduceat((dp @ p["wx"].T)[by], first, axis=0)
         return float(loss), grad, state
 
     def log_probs(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log P(class) + log P(word | class), the latter for words only."""
         p, out = self.p, np.empty(len(symbols), np.float32)
+        order = np.argsort(symbols.astype(np.int16), kind="stable")
+        symbols, states = symbols[order], _with_one(states)[order]
         cls = self.class_of(symbols)
+        held, large = _with_bias(p["oc"], p["bc"])
+        logs = (states * held.T[cls]).sum(1)
         for a in range(0, len(symbols), 16_384):
-            x = states[a : a + 16_384] @ p["oc"]
-            x += p["bc"]
-            own = x[np.arange(len(x)), cls[a : a + 16_384]]
-            top = x.max(1)
-            x -= top[:, None]
-            np.exp(x, out=x)
-            out[a : a + 16_384] = own - top - np.log(x.sum(1))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+            part = slice(a, a + 16_384)
+            logs[part] -= _exponents(states[part], held, large)[2]
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1))
+        known = slice(0, int(cuts[self.classes]))
+        stack, wide = _with_bias(p["ow"], p["bw"])
+        logs[known] += (states[known] * stack.transpose(0, 2, 1).reshape(-1, HIDDEN + 1)[symbols[known]]).sum(1)
         for c in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[c] : cuts[c + 1]]
-            x = states[rows] @ p["ow"][c]
-            x += p["bw"][c]
-            own = x[np.arange(len(x)), symbols[rows] - c * CLASS_SIZE]
-            top = x.max(1)
-            x -= top[:, None]
-            np.exp(x, out=x)
-            out[rows] += own - top - np.log(x.sum(1))
+            rows = slice(cuts[c], cuts[c + 1])
+            logs[rows] -= _exponents(states[rows], stack[c], wide[c])[2]
+        out[order] = logs
         return out
 
     def score(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, first: int) -> np.ndarray:
@@ -254,6 +290,20 @@ class Network:
         return out
 
 
+class Symbols(dict):
+    """Symbols of words; those of rest words are remembered, up to a bound."""
+
+    def __init__(self, known: dict[bytes, int], held: int = 500_000) -> None:
+        super().__init__(known)
+        self.size, self.most = len(known), len(known) + held
+
+    def __missing__(self, word: bytes) -> int:
+        symbol = self.size + rest_class(word)
+        if len(self) < self.most:
+            self[word] = symbol
+        return symbol
+
+
 class Trainer:
     """Truncated backpropagation with adaptive steps, whose moments go on from run to run.
 
@@ -323,15 +373,16 @@ class Model:
         self.network: Network | None = None
 
     def symbols(self, words: list[bytes]) -> list[int]:
-        size, known = len(self.symbol), self.symbol
-        return [known[w] if w in known else size + rest_class(w) for w in words] + [self.end]
+        known = Symbols(self.symbol, 0)
+        return [known[w] for w in words] + [self.end]
 
     def fit(self, texts: list[bytes], seed: int = SEED, passes: int = PASSES) -> None:
         """A new network, warmed up on whole documents."""
         rng = np.random.default_rng(seed)
         self.network = Network(self.vocab_counts, self.rest_share, rng)
         trainer = Trainer(self.network)
-        docs = [self.symbols(lower_words(t)) for t in texts]
+        known = Symbols(self.symbol)
+        docs = [[known[w] for w in lower_words(t)] + [self.end] for t in texts]
         for lap in range(passes if docs else 0):
             trainer.run([docs[i] for i in rng.permutation(len(docs))], self.end, STREAMS, lambda done: RATE * (1 - 0.9 * (lap + done) / passes))
 
@@ -436,7 +487,7 @@ def train_round(docs: DataFrame, model: Model) -> bool:
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, end, network = sent.value
-        size, mine = len(symbol), copy.deepcopy(network)
+        known, mine = Symbols(symbol), copy.deepcopy(network)
         trainer, held = Trainer(mine), []
 
         def run(least: int) -> None:
@@ -446,7 +497,7 @@ def train_round(docs: DataFrame, model: Model) -> bool:
 
         for batch in slices(batches, ROUND_DOCS):
             for text in bytes_of(batch.column(0)).to_pylist():
-                held.append([symbol[w] if w in symbol else size + rest_class(w) for w in lower_words(text)] + [end])
+                held.append([known[w] for w in lower_words(text)] + [end])
             run(ROUND_DOCS)
         run(1)
         if trainer.tokens:
