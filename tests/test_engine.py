@@ -322,3 +322,37 @@ def test_requests(spark):
     rows = [(1, T0, T0 + dt.timedelta(milliseconds=1.5), "/documents/1"), (2, T0, T0, "/static/a"), (3, T0, T0, "/health"), (4, T0, T0, "/healthy")]
     got = audit.logged_requests(spark.createDataFrame(rows, "id long, start_ts timestamp_ntz, end_ts timestamp_ntz, url string")).collect()
     assert [(r["id"], r["duration_ms"]) for r in got] == [(1, 1.5), (4, 0.0)]
+
+
+def test_nearest_of_odd_vectors(spark):
+    """Places without a value in either vector don't count, as in the SQL; no place at all comes last, after what is no number."""
+    nan = float("nan")
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [4.0]), (4, [nan, 2.0]), (5, []), (6, [float("inf"), 0.0]), (7, [1.0, 2.5, 9.0]), (8, [1e200, 0.0])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = retrieval.nearest(corpus.filter("vec_id = 0"), corpus, k=9).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2, 7, 3, 6, 8, 4, 1, 5]
+    assert [r["dist"] for r in got[:4]] == [0.0, 0.25, 9.0, float("inf")] and [r["dist"] for r in got[6:]] == [None, None]
+    none = retrieval.nearest(corpus.filter("vec_id = 1"), corpus)
+    assert [r["vec_id"] for r in none.orderBy("rank").collect()] == [0, 2, 3]
+
+
+def test_nearest_ranks_repeated_keys_row_by_row(spark):
+    rows = [(0, [0.0], "q"), (1, [3.0], "far"), (1, [1.0], "near"), (2, [2.0], "b"), (3, [2.5], "c")]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>, page_content string")
+    got = retrieval.nearest(corpus.filter("vec_id = 0"), corpus).orderBy("rank").collect()
+    assert [r["page_content"] for r in got] == ["near", "b", "c"]
+
+
+def test_nearest_in_passes_and_among_copies(spark):
+    rows = [(i, [float(i // 40), 1e6]) for i in range(200)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    want = {(q, i) for q, v in rows for _, i in sorted(((v[0] - w[0]) ** 2, i) for i, w in rows if i != q)[:3]}
+    got = retrieval.nearest_keys(corpus, corpus, block=7, size=1000)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_search_carries_no_texts(spark):
+    """Neither pairs nor shuffles hold the texts: the search reads keys and vectors alone."""
+    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"), F.raise_error(F.lit("read")).cast("string").alias("page_content"))
+    got = retrieval.nearest_keys(rows.filter("vec_id % 50 = 0"), rows)
+    assert got.columns == ["query_id", "vec_id"] and got.count() == 24

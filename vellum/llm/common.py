@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_path, shared_root  # noqa: F401
+
 #: Rows, and bytes as JSON, up to which a lookup table is broadcast; beyond either the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
 #: Bytes of text that Python works on at a time.
@@ -24,32 +23,6 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where all run in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="vellum-ckpt-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
-    path = f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    # Only a path that is there can be marked; writers want a fresh one in it.
-    files.mkdirs(place)
-    files.deleteOnExit(place)
-    return f"{path}/data"
-
-
 def pinned(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder; rows keep their partition and order."""
     shared_root(df.sparkSession)

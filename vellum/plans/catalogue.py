@@ -205,10 +205,14 @@ def knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = store.of_active_documents(S.chunk_vectors_v(spark, sf_dir).drop("is_active"), S.documents_v(spark, sf_dir))
+    """The search reads vectors alone; texts are read of its hits."""
+    docs = S.documents_v(spark, sf_dir)
+    chunks = lambda only=None: store.of_active_documents(S.chunk_vectors_v(spark, sf_dir, only).drop("is_active"), docs)
     asked = S.read(spark, sf_dir, "embeddings").filter(ASKED).select("vec_id", "embedding")
-    found = retrieval.contexts(retrieval.nearest(asked, chunks))
-    questions = found.select("query_id").withColumn("question", F.concat(F.lit("What is known about vector "), F.col("query_id").cast("string"), F.lit("?")))
+    keys = retrieval.nearest_keys(asked, chunks())
+    found = retrieval.contexts(retrieval.ranked(asked, chunks(keys), keys))
+    number = F.col("vec_id").alias("query_id")
+    questions = asked.select(number).distinct().withColumn("question", F.concat(F.lit("What is known about vector "), F.col("query_id").cast("string"), F.lit("?")))
     return retrieval.answer_prompts(found, questions)
 
 

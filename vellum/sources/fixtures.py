@@ -117,8 +117,11 @@ def changes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return created.unionByName(patched).unionByName(deleted)
 
 
-def chunk_vectors_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_vectors_v(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Documents as chunks with vectors; of those in ``only`` (vec_id), if given, so that no other text travels."""
     d = documents_v(spark, sf_dir)
+    if only is not None:
+        d = d.join(only.select(F.col("vec_id").alias("id")), "id", "left_semi")
     return (
         read(spark, sf_dir, "embeddings")
         .join(d, F.col("vec_id") == F.col("id"))

@@ -1,7 +1,11 @@
-"""Where tables live: storage address, Parquet or JDBC reads, the chunk table and log sinks."""
+"""Where tables live: storage address, the shared folder, Parquet or JDBC reads, the chunk table and log sinks."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +20,32 @@ def storage_uri(server: str | None, path: str, port: int = 5432, database: str =
     return f"jdbc:postgresql://{server}:{port}/{database}"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where all run in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="vellum-ckpt-")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder, deleted when the application ends."""
+    path = f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Only a path that is there can be marked; writers want a fresh one in it.
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{path}/data"
+
+
 def open_table(
     spark: SparkSession, uri: str, table: str, schema: T.StructType | None = None, user: str = "", password: str = "", split: tuple[str, int, int, int] | None = None
 ) -> DataFrame:
