@@ -3,7 +3,9 @@
 import datetime as dt
 import http.server
 import json
+import random
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -356,3 +358,22 @@ def test_search_carries_no_texts(spark):
     rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"), F.raise_error(F.lit("read")).cast("string").alias("page_content"))
     got = retrieval.nearest_keys(rows.filter("vec_id % 50 = 0"), rows)
     assert got.columns == ["query_id", "vec_id"] and got.count() == 24
+
+
+def test_overlap_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(4000):
+        made, prefix = ("".join(rng.choices("ab\U0001f600", (9, 1, 1), k=rng.randrange(60))) for _ in range(2))
+        want = max((n for n in range(min(len(made), len(prefix)) + 1) if prefix.endswith(made[:n])), default=0)
+        assert text.overlap(made, prefix) == want
+
+
+def test_overlap_of_long_repetitive_texts(spark):
+    """Time is in proportion to the length, where comparing every size took its square."""
+    rows = [("a" * 400_000 + "b", "a" * 400_000, "b"), ("ab" * 200_000, "c" + "ab" * 150_000 + "a", "b" + "ab" * 49_999), ("x", None, "x"), (None, "x", None)]
+    frame = spark.createDataFrame([(m, p) for m, p, _ in rows], "m string, p string")
+    began = time.monotonic()
+    got = [r["x"] for r in frame.select(text.without_overlap(F.col("m"), F.col("p")).alias("x")).collect()]
+    # The second prefix ends with "a", whose longest common head is all of its "ab"s and that "a".
+    assert got == [rows[0][2], ("ab" * 200_000)[300_001:], "x", None]
+    assert time.monotonic() - began < 60

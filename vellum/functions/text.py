@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ PHRASE_END = r"[，,。！!？?;；\n]"
 PLACEHOLDER_TITLES = ("untitled", "untitled document")
 MARKDOWN = r"^(?U)(\s*#{1,6}\s|\s*>|\s*[-*]\s|\s*\d+\.\s|`{3})"
 FENCE = "```"
+#: Characters that an overlap is looked up by, and places that are compared whole before the linear way.
+OVERLAP_HEAD, OVERLAP_TRIES = 8, 16
 
 
 def preview(text: Column, size: int = 200) -> Column:
@@ -46,14 +51,43 @@ def first_phrase(text: Column) -> Column:
     return F.split(lstrip(text), PHRASE_END, 2)[0]
 
 
+def _longest_end(head: str, tail: str) -> int:
+    """Length of the longest head that ends the tail, in time linear in them; both are equally long."""
+    back, n = array("i", bytes(4 * len(head))), 0
+    for i in range(1, len(head)):
+        while n and head[i] != head[n]:
+            n = back[n - 1]
+        n += head[i] == head[n]
+        back[i] = n
+    n = 0
+    for c in tail:
+        while n and c != head[n]:
+            n = back[n - 1]
+        n += c == head[n]
+    return n
+
+
+def overlap(text: str, prefix: str) -> int:
+    """Length of the longest head of the text that the prefix ends with."""
+    most = min(len(text), len(prefix))
+    tail, head = prefix[len(prefix) - most :], text[:OVERLAP_HEAD]
+    at = tail.find(head)
+    for _ in range(OVERLAP_TRIES):
+        if at < 0:
+            return next((n for n in range(min(len(head) - 1, most), 0, -1) if tail.endswith(text[:n])), 0)
+        if text.startswith(tail[at:]):
+            return most - at
+        at = tail.find(head, at + 1)
+    return _longest_end(text[:most], tail)
+
+
+def _overlaps(text: pa.Array, prefix: pa.Array) -> pa.Array:
+    return pa.array([None if a is None or b is None else overlap(a, b) for a, b in zip(text.to_pylist(), prefix.to_pylist())], pa.int32())
+
+
 def without_overlap(text: Column, prefix: Column) -> Column:
     """The text without its longest head that the prefix ends with."""
-    most = F.least(F.length(text), F.length(prefix))
-    sizes = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    # The first characters rule out nearly all sizes before whole ends are compared.
-    start = lambda n: F.left(text, F.least(n, F.lit(8))) == F.substring(prefix, F.length(prefix) - n + 1, F.least(n, F.lit(8)))
-    fits = F.filter(sizes, lambda n: start(n) & (F.left(text, n) == F.right(prefix, n)))
-    return F.substring(text, F.coalesce(F.get(fits, F.lit(0)), F.lit(0)) + 1, F.length(text))
+    return F.substring(text, F.coalesce(F.arrow_udf(_overlaps, "int")(text, prefix), F.lit(0)) + 1, F.length(text))
 
 
 def word_count(text: Column) -> Column:
