@@ -165,3 +165,14 @@ def test_empty(spark):
     assert lm.score_documents(docs.limit(0), model, counts).collect() == []
     r = lm.score_documents(docs, model, counts).first()
     assert r["base_score"] == 0.0 and r["n_known"] == 0 and r["n_tokens"] == 3 and r["score"] < 0
+
+
+def test_rare_words_are_counted_by_text():
+    """Each rare occurrence comes with its text, and its rest class is that of the word, also for words of one or two bytes."""
+    texts = [b"a rare rare x", b"", b"rare \xc3\xa9\xc3\xa9 a"]
+    model = lm.Model(10, 3, {b"a": 5, b"": 3}, np.full(lm.RESTS, 50.0))
+    model.fit([])
+    count, known, _, _, rare, at = model.score(texts)
+    assert count.tolist() == [5, 1, 4] and known.tolist() == [2, 1, 2]
+    assert list(zip(rare.to_pylist(), at.tolist())) == [(b"rare", 0), (b"rare", 0), (b"x", 0), (b"rare", 2), (b"\xc3\xa9\xc3\xa9", 2)]
+    assert lm.rest_classes(rare.dictionary).tolist() == [lm.rest_class(w) for w in rare.dictionary.to_pylist()]

@@ -28,9 +28,11 @@ import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,12 @@ def rest_class(word: bytes) -> int:
     return zlib.crc32(word[:HEAD]) % RESTS
 
 
+def rest_classes(words: pa.Array) -> np.ndarray:
+    """rest_class of each word; words with one beginning are of one class."""
+    heads = pc.binary_slice(words, 0, HEAD).dictionary_encode()
+    return np.array([rest_class(h) for h in heads.dictionary.to_pylist()], dtype=np.int64)[heads.indices.to_numpy()]
+
+
 def _with_bias(weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights with the bias as their last row, and whether logits may be large; for one matrix or a stack of them.
 
@@ -208,9 +216,9 @@ class Network:
             d_state += p["wh"] @ dq[k]
             d_state *= keep[k]
         rows = lambda a: np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(t * b, -1)
-        grad["wh"] = rows(before).T @ rows(dq)
-        dq[:, 2 * h :] = d_new
         dp = rows(dq)
+        grad["wh"] = rows(before).T @ dp
+        dp[:, 2 * h :] = rows(d_new)
         grad["wx"], grad["bx"] = x.T @ dp, dp.sum(0)
         # Gradients of equal inputs are summed by sorting, which beats adding them one by one.
         by = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
@@ -316,7 +324,7 @@ class Trainer:
 
     def run(self, docs: list[list[int]], end: int, streams: int, rate) -> None:
         """One pass over documents (symbols, the last is the end mark), laid out as lines of equal length; ``rate`` of the share done."""
-        flat = np.array([s for doc in docs for s in doc], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(docs), np.int64, sum(map(len, docs)))
         streams = max(1, min(streams, len(flat) // STEPS))
         length = -(-len(flat) // streams)
         lines = lambda x: np.pad(x, (0, length * streams - len(flat)), constant_values=end).reshape(streams, length).T
@@ -386,20 +394,20 @@ class Model:
         for lap in range(passes if docs else 0):
             trainer.run([docs[i] for i in rng.permutation(len(docs))], self.end, STREAMS, lambda done: RATE * (1 - 0.9 * (lap + done) / passes))
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Counter]]:
-        """n_tokens, n_known, base and score of each text but for its rare words, and those counted.
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray, np.ndarray]:
+        """n_tokens, n_known, base and score of each text but for its rare words; those, and the place of each one's text.
 
         Each rare word still adds log10(count + 1) to base and score, and 1 to n_known if its count is positive.
         """
         find = self.hot.get
         rare: list[bytes] = []
-        counted, places, size = [], [], []
+        places, size, missing = [], [], []
         for text in texts:
             words = lower_words(text)
             found = [find(w, -1) for w in words]
-            missed = [w for w, f in zip(words, found) if f < 0]
-            rare += missed
-            counted.append(Counter(missed))
+            before = len(rare)
+            rare += [w for w, f in zip(words, found) if f < 0]
+            missing.append(len(rare) - before)
             places += found
             places.append(-2)
             size.append(len(words) + 1)
@@ -414,12 +422,13 @@ class Model:
         flat[place == -2] = self.end
         log[place == -2] = np.log10(self.end_count + 1)
         vocab = len(self.symbol)
-        flat[place == -1] = vocab + np.array([rest_class(w) for w in rare], dtype=np.int64)
+        coded = pa.array(rare, pa.binary()).dictionary_encode()
+        flat[place == -1] = vocab + rest_classes(coded.dictionary)[coded.indices.to_numpy()]
         known = np.add.reduceat(((place >= 0) | ((place == -2) & (self.end_count > 0))).astype(np.int64), start) if len(texts) else np.zeros(0, np.int64)
         base = (np.add.reduceat(log, start) - count * np.log10(self.tokens + self.types + 1)) if len(texts) else np.zeros(0)
         share = np.where(flat >= vocab, log - np.log10(self.rest_share)[np.maximum(flat - vocab, 0)], 0.0)
         score = (np.add.reduceat(share, start) + self.network.score(flat, start, count, self.end) / LOG10) if len(texts) else np.zeros(0)
-        return count, known, base, score, counted
+        return count, known, base, score, coded, np.repeat(np.arange(len(texts)), missing)
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", held: int = 200_000) -> DataFrame:
@@ -497,7 +506,7 @@ def train_round(docs: DataFrame, model: Model) -> bool:
 
         for batch in slices(batches, ROUND_DOCS):
             for text in bytes_of(batch.column(0)).to_pylist():
-                held.append([known[w] for w in lower_words(text)] + [end])
+                held.append([*map(known.__getitem__, lower_words(text)), end])
             run(ROUND_DOCS)
         run(1)
         if trainer.tokens:
@@ -562,7 +571,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, id_col: st
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             row = batch.column(0).to_numpy()
-            count, known, base, value, counted = sent.value.score(bytes_of(batch.column(2)).to_pylist())
+            count, known, base, value, rare, text = sent.value.score(bytes_of(batch.column(2)).to_pylist())
             own = pa.StructArray.from_arrays(
                 [batch.column(1), pa.array(count), pa.array(known), pa.array(base), pa.array(value)], ["id", "n_tokens", "n_known", "base", "score"]
             )
@@ -571,19 +580,14 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, id_col: st
             none = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.zeros(n, np.int32)))
             first = pa.array(np.full(n, row[0]))
             yield pa.RecordBatch.from_arrays([pa.array([f" {r}" for r in row], pa.string()), first, single, none, own], ["token", "first", "places", "times", "own"])
-            met: dict[bytes, tuple[list[int], list[int]]] = {}
-            for i, words in enumerate(counted):
-                for w, k in words.items():
-                    places, times = met.setdefault(w, ([], []))
-                    places.append(i)
-                    times.append(k)
-            words = list(met)
+            # Pairs of a word and a text, by word: each word's texts follow each other.
+            pairs, times = np.unique(rare.indices.to_numpy().astype(np.int64) * n + text, return_counts=True)
+            ends = np.searchsorted(pairs, np.arange(len(rare.dictionary) + 1) * n).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (pairs % n, times)]
+            words = rare.dictionary.cast(pa.string())
+            sums = pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), row[0])), *lists, pa.nulls(len(words), own.type)], ["token", "first", "places", "times", "own"])
             for a in range(0, len(words), 100_000):
-                part = words[a : a + 100_000]
-                lists = [pa.array([met[w][j] for w in part], pa.list_(pa.int32())) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.binary()).cast(pa.string()), pa.array(np.full(len(part), row[0])), *lists, pa.nulls(len(part), own.type)], ["token", "first", "places", "times", "own"]
-                )
+                yield sums.slice(a, 100_000)
 
     shape = f"token string, first bigint, places array<int>, times array<int>, own struct<id {id_type}, n_tokens bigint, n_known bigint, base double, score double>"
     parts = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(score, shape)
