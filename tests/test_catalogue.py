@@ -89,3 +89,10 @@ def test_list_order(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_texts_are_read_of_the_hits_only(spark):
+    hits = spark.createDataFrame([(0, 3), (50, 3), (50, 7)], "query_id long, vec_id long")
+    got = fixtures.chunk_vectors_v(spark, SF, hits).collect()
+    assert sorted(r["vec_id"] for r in got) == [3, 7]
+    assert set(rows_of(got)) <= set(rows_of(fixtures.chunk_vectors_v(spark, SF).collect()))
