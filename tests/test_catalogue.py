@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from vellum.operators import models
 from vellum.plans import catalogue
-from vellum.sources import fixtures
+from vellum.sources import fixtures, store
 
 SF = os.environ.get("CATALOGUE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -96,3 +96,23 @@ def test_texts_are_read_of_the_hits_only(spark):
     got = fixtures.chunk_vectors_v(spark, SF, hits).collect()
     assert sorted(r["vec_id"] for r in got) == [3, 7]
     assert set(rows_of(got)) <= set(rows_of(fixtures.chunk_vectors_v(spark, SF).collect()))
+
+
+def test_other_texts_stay_where_they_are(spark):
+    """However large Spark takes the hits' table for, texts and vectors are cut down to the hits before they are shuffled."""
+    hits = spark.createDataFrame([(0, 3), (50, 3), (50, 7)], "query_id long, vec_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = fixtures.chunk_vectors_v(spark, SF, hits)._jdf.queryExecution().sparkPlan().toString()
+        answer = entry.queries()["rag_context"](spark, SF)
+        assert answer.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("LeftSemi, BuildRight") == 2 and "SortMergeJoin" in plan and "LeftSemi\n" not in plan
+
+
+def test_hits_in_blocks(spark):
+    rows = spark.createDataFrame([(i % 40, str(i)) for i in range(100)], "id long, content string")
+    keys = spark.createDataFrame([(i,) for i in (1, 1, 5, 7, 11, 99, None)], "id long")
+    got = store.of_keys(rows, keys, "id", held=2).collect()
+    assert sorted(int(r["content"]) for r in got) == [i for i in range(100) if i % 40 in (1, 5, 7, 11)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 MINUTE0 = "2024-01-01 00:00:00"
 TTL_S = 3600
 
@@ -118,12 +120,11 @@ def changes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_vectors_v(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """Documents as chunks with vectors; of those in ``only`` (vec_id), if given, so that no other text travels."""
-    d = documents_v(spark, sf_dir)
+    """Documents as chunks with vectors; of those in ``only`` (vec_id), if given, so that no other text or vector travels."""
+    d, vectors = documents_v(spark, sf_dir), read(spark, sf_dir, "embeddings")
     if only is not None:
-        d = d.join(only.select(F.col("vec_id").alias("id")), "id", "left_semi")
+        d, vectors = store.of_keys(d, only.select(F.col("vec_id").alias("id")), "id"), store.of_keys(vectors, only, "vec_id")
     return (
-        read(spark, sf_dir, "embeddings")
-        .join(d, F.col("vec_id") == F.col("id"))
+        vectors.join(d, F.col("vec_id") == F.col("id"))
         .select("vec_id", F.col("id").alias("doc_id"), F.col("content").alias("page_content"), F.col("title").alias("source"), "embedding", "is_active")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +112,19 @@ def without_documents(chunks: DataFrame, doc_ids: DataFrame, key: str = "doc_id"
     return chunks.join(doc_ids.select(key).distinct(), key, "left_anti")
 
 
+#: Keys that travel to the rows of a table at a time.
+HELD_KEYS = 1_000_000
+
+
+def of_keys(rows: DataFrame, keys: DataFrame, key: str, held: int = HELD_KEYS) -> DataFrame:
+    """Rows whose ``key`` is among the keys. Keys travel in blocks to a scan of the rows each, so that no row is shuffled, however many keys there are."""
+    wanted = keys.select(key).distinct()
+    blocks = max(1, -(-wanted.count() // held))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    met = [rows.join(F.broadcast(wanted.filter(block == b) if blocks > 1 else wanted), key, "left_semi") for b in range(blocks)]
+    return reduce(DataFrame.unionAll, met)
+
+
 def of_active_documents(chunks: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
     active = documents.filter("is_active").select(F.col("id").alias(key))
     return chunks.join(active, key, "left_semi")
