@@ -57,3 +57,15 @@ def test_lookup_is_bounded_in_bytes(spark):
     wide = spark.range(10).selectExpr("id", "repeat('x', 1000) AS t")
     hint = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
     assert hint(common.lookup(wide)) and not hint(common.lookup(wide, size=5000)) and not hint(common.lookup(wide, rows=9))
+
+
+def test_coded_words_of_slices():
+    """Pieces of a column, whose bytes do not begin at its first, too; white space is that of ASCII alone."""
+    texts = ["A b\x0ba", " \t", None, "", "É\x85É é ", "\x1cß ſ\x00", "  x\r\ny"] * 40
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        for a, b in ((0, 280), (3, 200), (279, 280), (1, 4), (5, 5)):
+            coded, size = common.coded_words(column[a:b])
+            want = [common.lower_words((t or "").encode()) for t in texts[a:b]]
+            assert coded.to_pylist() == [w for t in want for w in t] and size.tolist() == [len(t) for t in want]
+            assert common.listed(coded.dictionary) == list(dict.fromkeys(w for t in want for w in t))

@@ -176,3 +176,12 @@ def test_rare_words_are_counted_by_text():
     assert count.tolist() == [5, 1, 4] and known.tolist() == [2, 1, 2]
     assert list(zip(rare.to_pylist(), at.tolist())) == [(b"rare", 0), (b"rare", 0), (b"x", 0), (b"rare", 2), (b"\xc3\xa9\xc3\xa9", 2)]
     assert lm.rest_classes(rare.dictionary).tolist() == [lm.rest_class(w) for w in rare.dictionary.to_pylist()]
+
+
+def test_counts_that_are_sent_early(spark):
+    texts = [f"a w{i} w{i % 3} É" for i in range(50)] + [None, " "]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    want = Counter([b""] * 52 + [w for t in texts for w in lm.lower_words((t or "").encode())])
+    for held in (1, 20, 10_000):
+        assert {r["token"].encode(): r["n"] for r in lm.count_tokens(docs, held=held).collect()} == want
+    assert lm.count_tokens(docs.limit(0)).count() == 0

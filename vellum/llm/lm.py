@@ -26,9 +26,8 @@ from __future__ import annotations
 
 import copy
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, bytes_of, least_count, lower_words, shared_path, slices
+from .common import bounded_sample, coded_words, least_count, listed, lower_words, shared_path, slices
 
 VOCAB = 4095
 CLASS_SIZE = 64
@@ -298,6 +297,15 @@ class Network:
         return out
 
 
+def with_ends(words: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
+    """One value a word, and ``end`` behind the words of each text, of which there are ``size``."""
+    out = np.full(len(words) + len(size), end, words.dtype)
+    there = np.ones(len(out), bool)
+    there[np.cumsum(size + 1) - 1] = False
+    out[there] = words
+    return out
+
+
 class Symbols(dict):
     """Symbols of words; those of rest words are remembered, up to a bound."""
 
@@ -322,9 +330,9 @@ class Trainer:
         self.net, self.turn, self.tokens = network, 0, 0
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
 
-    def run(self, docs: list[list[int]], end: int, streams: int, rate) -> None:
-        """One pass over documents (symbols, the last is the end mark), laid out as lines of equal length; ``rate`` of the share done."""
-        flat = np.fromiter(chain.from_iterable(docs), np.int64, sum(map(len, docs)))
+    def run(self, docs: list[list[int] | np.ndarray], end: int, streams: int, rate) -> None:
+        """One pass over documents (symbols, each one's last is the end mark), one or more at a place, laid out as lines of equal length; ``rate`` of the share done."""
+        flat = np.concatenate([np.asarray(d, np.int64) for d in docs])
         streams = max(1, min(streams, len(flat) // STEPS))
         length = -(-len(flat) // streams)
         lines = lambda x: np.pad(x, (0, length * streams - len(flat)), constant_values=end).reshape(streams, length).T
@@ -394,66 +402,62 @@ class Model:
         for lap in range(passes if docs else 0):
             trainer.run([docs[i] for i in rng.permutation(len(docs))], self.end, STREAMS, lambda done: RATE * (1 - 0.9 * (lap + done) / passes))
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray, np.ndarray]:
+    def score(self, texts: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray, np.ndarray]:
         """n_tokens, n_known, base and score of each text but for its rare words; those, and the place of each one's text.
 
         Each rare word still adds log10(count + 1) to base and score, and 1 to n_known if its count is positive.
         """
-        find = self.hot.get
-        rare: list[bytes] = []
-        places, size, missing = [], [], []
-        for text in texts:
-            words = lower_words(text)
-            found = [find(w, -1) for w in words]
-            before = len(rare)
-            rare += [w for w, f in zip(words, found) if f < 0]
-            missing.append(len(rare) - before)
-            places += found
-            places.append(-2)
-            size.append(len(words) + 1)
-        place = np.array(places, dtype=np.int64)
-        count = np.array(size, dtype=np.int64)
+        vocab, most = len(self.symbol), len(self.hot)
+        coded, size = coded_words(pa.array(texts, pa.large_binary()) if isinstance(texts, list) else texts)
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        # Each distinct word is looked up once.
+        found = np.fromiter(map(self.hot.get, listed(words), repeat(-1)), np.int64, len(words))
+        scarce, held = found < 0, np.maximum(found, 0)
+        symbol = self.hot_symbol[held] if most else np.zeros(len(words), np.int64)
+        logs = np.where(scarce, 0.0, self.hot_log[held]) if most else np.zeros(len(words))
+        unknown = words.filter(pa.array(scarce))
+        symbol[scarce] = vocab + rest_classes(unknown)
+        place = with_ends(found[at], size, -2)
+        flat = with_ends(symbol[at], size, self.end)
+        log = with_ends(logs[at], size, np.log10(self.end_count + 1))
+        count = size + 1
         start = np.cumsum(count) - count
-        if len(self.hot):
-            flat = self.hot_symbol[np.maximum(place, 0)]
-            log = np.where(place >= 0, self.hot_log[np.maximum(place, 0)], 0.0)
-        else:
-            flat, log = np.zeros(len(place), np.int64), np.zeros(len(place))
-        flat[place == -2] = self.end
-        log[place == -2] = np.log10(self.end_count + 1)
-        vocab = len(self.symbol)
-        coded = pa.array(rare, pa.binary()).dictionary_encode()
-        flat[place == -1] = vocab + rest_classes(coded.dictionary)[coded.indices.to_numpy()]
+        left = scarce[at]
+        rare = pa.DictionaryArray.from_arrays(pa.array((np.cumsum(scarce) - 1)[at[left]].astype(np.int32)), unknown)
         known = np.add.reduceat(((place >= 0) | ((place == -2) & (self.end_count > 0))).astype(np.int64), start) if len(texts) else np.zeros(0, np.int64)
         base = (np.add.reduceat(log, start) - count * np.log10(self.tokens + self.types + 1)) if len(texts) else np.zeros(0)
         share = np.where(flat >= vocab, log - np.log10(self.rest_share)[np.maximum(flat - vocab, 0)], 0.0)
         score = (np.add.reduceat(share, start) + self.network.score(flat, start, count, self.end) / LOG10) if len(texts) else np.zeros(0)
-        return count, known, base, score, coded, np.repeat(np.arange(len(texts)), missing)
+        return count, known, base, score, rare, np.repeat(np.arange(len(texts)), size)[left]
 
 
-def count_tokens(docs: DataFrame, text_col: str = "text", held: int = 200_000) -> DataFrame:
+def count_tokens(docs: DataFrame, text_col: str = "text", held: int = 500_000) -> DataFrame:
     """(token, n) over all texts, the end mark as an empty token. Workers add up to ``held`` types before they send."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: Counter = Counter()
+        kept: list[pa.Table] = []
         ends = 0
 
-        def out() -> pa.RecordBatch:
-            if ends:
-                kept[END] += ends
-            tokens = pa.array(list(kept.keys()), pa.binary()).cast(pa.string())
-            batch = pa.RecordBatch.from_arrays([tokens, pa.array(list(kept.values()), pa.int64())], ["token", "n"])
-            kept.clear()
-            return batch
-
-        for batch in slices(batches, 64):
-            for text in bytes_of(batch.column(0)).to_pylist():
-                kept.update(lower_words(text))
-            ends += batch.num_rows
-            if len(kept) > held:
-                yield out()
-                ends = 0
-        yield out()
+        def added() -> pa.Table:
+            both = pa.concat_tables(kept).combine_chunks()
+            words = both["token"].combine_chunks().dictionary_encode()
+            n = np.bincount(words.indices.to_numpy(), weights=both["n"].to_numpy(), minlength=len(words.dictionary))
+            return pa.table({"token": words.dictionary, "n": n.astype(np.int64)})
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            return iter(table.set_column(0, "token", table["token"].cast(pa.string())).combine_chunks().to_batches())
+
+        for batch in slices(batches, 8192):
+            words, size = coded_words(batch.column(0))
+            kept.append(pa.table({"token": words.dictionary, "n": np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).astype(np.int64)}))
+            ends += len(size)
+            if sum(t.num_rows for t in kept) > held:
+                kept[:] = [added()]
+                if kept[0].num_rows > held:
+                    yield from out(kept.pop())
+        if ends:
+            kept.append(pa.table({"token": pa.array([END], pa.large_binary()), "n": pa.array([ends], pa.int64())}))
+            yield from out(added())
 
     return docs.select(docs[text_col].alias("text")).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -497,16 +501,20 @@ def train_round(docs: DataFrame, model: Model) -> bool:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, end, network = sent.value
         known, mine = Symbols(symbol), copy.deepcopy(network)
-        trainer, held = Trainer(mine), []
+        trainer, held, rows = Trainer(mine), [], 0
 
         def run(least: int) -> None:
-            if len(held) >= least:
+            nonlocal rows
+            if rows >= least:
                 trainer.run(held, end, ROUND_STREAMS, lambda _: ROUND_RATE)
                 held.clear()
+                rows = 0
 
         for batch in slices(batches, ROUND_DOCS):
-            for text in bytes_of(batch.column(0)).to_pylist():
-                held.append([*map(known.__getitem__, lower_words(text)), end])
+            words, size = coded_words(batch.column(0))
+            symbols = np.fromiter(map(known.__getitem__, listed(words.dictionary)), np.int64, len(words.dictionary))
+            held.append(with_ends(symbols[words.indices.to_numpy()], size, end))
+            rows += batch.num_rows
             run(ROUND_DOCS)
         run(1)
         if trainer.tokens:
@@ -571,7 +579,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, id_col: st
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             row = batch.column(0).to_numpy()
-            count, known, base, value, rare, text = sent.value.score(bytes_of(batch.column(2)).to_pylist())
+            count, known, base, value, rare, text = sent.value.score(batch.column(2))
             own = pa.StructArray.from_arrays(
                 [batch.column(1), pa.array(count), pa.array(known), pa.array(base), pa.array(value)], ["id", "n_tokens", "n_known", "base", "score"]
             )
